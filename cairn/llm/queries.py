@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import ribbon
+from cairn.llm import mixing, ribbon, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,18 @@ def p4_audit(spark: SparkSession, d: str) -> DataFrame:
     return ribbon.audit(table(spark, d, "chunk_puts"), table(spark, d, "base_chunks"))
 
 
+def p6_ids(spark: SparkSession, d: str) -> DataFrame:
+    return tokens.encode_texts(table(spark, d, "documents"))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
 def _sql_hash(column: str) -> str:
     plain = f"lower(regexp_replace({column}, '[\\s\\p{{Z}}/]+', '', 'g'))"
     return f"CASE WHEN regexp_full_match({plain}, '[0-9a-f]{{64}}') AND {plain} <> repeat('0', 64) THEN {plain} END"
@@ -29,5 +41,5 @@ firsts AS (SELECT h, min(put_id) AS first_id FROM puts WHERE h IS NOT NULL GROUP
 SELECT DISTINCT put_id FROM puts JOIN firsts USING (h)
 WHERE put_id > first_id OR h IN (SELECT {_sql_hash("hash")} FROM base_chunks)"""
 
-QUERIES = {"p4_found": p4_found, "p4_audit": p4_audit}
+QUERIES = {"p4_found": p4_found, "p4_audit": p4_audit, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
 SQL = {"p4_found": _P4}
