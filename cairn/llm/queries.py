@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import mixing, ribbon, tokens
+from cairn.llm import language, mixing, ribbon, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,14 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixed(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return language.wrong_labels(language.document_languages(table(spark, d, "documents")))
+
+
+def p8_segments(spark: SparkSession, d: str) -> DataFrame:
+    return language.document_languages(table(spark, d, "documents"))
+
+
 def _sql_hash(column: str) -> str:
     plain = f"lower(regexp_replace({column}, '[\\s\\p{{Z}}/]+', '', 'g'))"
     return f"CASE WHEN regexp_full_match({plain}, '[0-9a-f]{{64}}') AND {plain} <> repeat('0', 64) THEN {plain} END"
@@ -41,5 +49,5 @@ firsts AS (SELECT h, min(put_id) AS first_id FROM puts WHERE h IS NOT NULL GROUP
 SELECT DISTINCT put_id FROM puts JOIN firsts USING (h)
 WHERE put_id > first_id OR h IN (SELECT {_sql_hash("hash")} FROM base_chunks)"""
 
-QUERIES = {"p4_found": p4_found, "p4_audit": p4_audit, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares}
+QUERIES = {"p4_found": p4_found, "p4_audit": p4_audit, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
 SQL = {"p4_found": _P4}
