@@ -4,13 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cairn.llm import language, mixing, ribbon, tokens
+from cairn.llm import forest, language, mixing, ribbon, tokens
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def p1_found(spark: SparkSession, d: str) -> DataFrame:
+    return forest.found(table(spark, d, "index_entries"))
+
+
+def p1_repeats(spark: SparkSession, d: str) -> DataFrame:
+    return forest.repeats(table(spark, d, "index_entries"))
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return ribbon.known_puts(table(spark, d, "chunk_puts"), table(spark, d, "base_chunks"))
 
@@ -49,5 +57,5 @@ firsts AS (SELECT h, min(put_id) AS first_id FROM puts WHERE h IS NOT NULL GROUP
 SELECT DISTINCT put_id FROM puts JOIN firsts USING (h)
 WHERE put_id > first_id OR h IN (SELECT {_sql_hash("hash")} FROM base_chunks)"""
 
-QUERIES = {"p4_found": p4_found, "p4_audit": p4_audit, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
+QUERIES = {"p1_found": p1_found, "p1_repeats": p1_repeats, "p4_found": p4_found, "p4_audit": p4_audit, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
 SQL = {"p4_found": _P4}
