@@ -38,7 +38,7 @@ NAMES = {
 }
 LANGS = list(NAMES)
 K = len(LANGS)
-#: Documents the word model is fitted on at most; rows beyond it are never looked at for fitting.
+#: Documents the word model is fitted on, to a few per cent, however many there are.
 SAMPLE = 3000
 #: Rounds of refitting on own decisions.
 ROUNDS = 2
@@ -233,10 +233,12 @@ def fit(sample: list[tuple[str, str]]) -> WordModel:
 
 
 def train(documents: DataFrame, sample: int = SAMPLE) -> WordModel:
-    """Fit on at most `sample` documents whose label names a language, taken in the order of a hash of their ids."""
-    labelled = documents.select("text", label_language(F.col("lang")).alias("label"), F.xxhash64("doc_id").alias("draw"))
-    rows = labelled.where("label is not null and text is not null").orderBy("draw").limit(sample).select("text", "label").collect()
-    return fit([(r.text, r.label) for r in rows])
+    """Fit on about `sample` documents whose label names a language: those whose id hashes below the share that the
+    sample is of all. Its size does not grow with the data."""
+    labelled = documents.select("doc_id", "text", label_language(F.col("lang")).alias("label")).where("label is not null and text is not null")
+    share = min(1.0, sample / max(1, labelled.count()))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 32)) < F.lit(int(share * (1 << 32)))
+    return fit([(r.text, r.label) for r in labelled.where(drawn).select("text", "label").collect()])
 
 
 def source_shares(documents: DataFrame) -> DataFrame:
