@@ -14,15 +14,23 @@ ZERO = "0" * 64
 IGNORED = "/ \t\n\r\f\v\u0085                 　"
 
 
+def _plain(text: Column) -> tuple[Column, Column]:
+    """The text without ignored characters, and whether it is a hash then. Most texts have 64 characters and go to the
+    check as they are; decoding is the cheapest test for hex digits."""
+    plain = F.when(F.length(text) == 64, text).otherwise(F.translate(text, IGNORED, ""))
+    return plain, (F.length(plain) == 64) & (F.unhex(plain) != F.lit(bytes(32)))
+
+
 def clean_hash(text: Column) -> Column:
     """Lower-case 64-digit form of a spelled hash, null where it is no hash."""
-    plain = F.lower(F.translate(text, IGNORED, ""))
-    return F.when(plain.rlike(r"\A[0-9a-f]{64}\z") & (plain != ZERO), plain)
+    plain, good = _plain(text)
+    return F.when(good, F.lower(plain))
 
 
 def hash_bytes(text: Column) -> Column:
     """32-byte form of a spelled hash: half the width of its text, for join keys."""
-    return F.unhex(clean_hash(text))
+    plain, good = _plain(text)
+    return F.when(good, F.unhex(plain))
 
 
 def bytes_text(key: Column) -> Column:
