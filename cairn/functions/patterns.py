@@ -5,6 +5,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import lru_cache
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -74,6 +75,25 @@ def is_ignored(path: Column, rules: list[IgnoreRule], is_dir: bool = False) -> C
     return out
 
 
+def ignored(path: str, rules: list[IgnoreRule], is_dir: bool = False) -> bool:
+    """is_ignored for one path on the driver, for walks."""
+    out = False
+    for rule in rules:
+        pattern = rule.pattern.removeprefix("!")
+        if pattern.endswith("/") and not is_dir or rule.directory and not path.startswith(rule.directory + "/"):
+            continue
+        inner, pattern = path[len(rule.directory) + 1 :] if rule.directory else path, pattern.rstrip("/")
+        tried = [inner] if "/" in pattern else [inner.rpartition("/")[2], inner]
+        if any(_compiled(pattern).match(x) for x in tried):
+            out = not rule.pattern.startswith("!")
+    return out
+
+
+@lru_cache(maxsize=1024)
+def _compiled(pattern: str) -> re.Pattern:
+    return re.compile(glob_regex(pattern).replace(r"\z", r"\Z"))
+
+
 def ancestors(path: Column) -> Column:
     """Directories above a path, outermost first."""
     parts = F.split(path, "/")

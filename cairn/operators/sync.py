@@ -35,8 +35,12 @@ def scope(manifests: DataFrame, tips: DataFrame, file_entries: DataFrame) -> tup
     return ids, listed.join(ids, "id", "left_semi").select("hash").distinct()
 
 
+def _named(key: str) -> list[str]:
+    return list(dict.fromkeys((key, "name")))
+
+
 def _pairs(local: DataFrame, remote: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    a = local.select(key, "name", clean_hash(F.col("target")).alias("local")).distinct()
+    a = local.select(*_named(key), clean_hash(F.col("target")).alias("local")).distinct()
     b = remote.select(key, clean_hash(F.col("target")).alias("remote"), F.lit(True).alias("_there")).distinct()
     return a, b
 
@@ -55,13 +59,13 @@ def classify_push(local: DataFrame, remote: DataFrame, manifests: DataFrame, key
         .when(F.coalesce("is_ancestor", F.lit(False)), "update")
         .otherwise("diverge")
     )
-    return rows.select(key, "name", action.alias("action"))
+    return rows.select(*_named(key), action.alias("action"))
 
 
 def merge_pull(local: DataFrame, remote: DataFrame, manifests: DataFrame, key: str = "ref_id") -> DataFrame:
     """(key, name, action, new_name) of each remote reference: create, same, forward, or side, where the remote target is
     kept under `<name>.remote` because the local one is no ancestor of it. A remote reference without a target is skipped."""
-    b = remote.select(key, F.regexp_replace("name", r"\Arefs/", "").alias("name"), clean_hash(F.col("target")).alias("remote")).distinct()
+    b = remote.withColumn("name", F.regexp_replace("name", r"\Arefs/", "")).select(*_named(key), clean_hash(F.col("target")).alias("remote")).distinct()
     a = local.select(key, clean_hash(F.col("target")).alias("local"), F.lit(True).alias("_there")).distinct()
     rows = ancestry(manifests, b.join(a, key, "left").withColumns({"descendant": F.col("remote"), "ancestor": F.col("local")}))
     action = (
@@ -72,4 +76,4 @@ def merge_pull(local: DataFrame, remote: DataFrame, manifests: DataFrame, key: s
         .otherwise("side")
     )
     side = F.when(F.col("action") == "side", F.concat("name", F.lit(".remote"))).otherwise(F.col("name"))
-    return rows.withColumn("action", action).select(key, "name", "action", side.alias("new_name"))
+    return rows.withColumn("action", action).select(*_named(key), "action", side.alias("new_name"))

@@ -225,4 +225,5 @@ SQL = {
     "hash_paths": f"""SELECT hash, left(hash, 8) AS short, 'chunks/' || left(hash, 2) || '/' || substr(hash, 3) AS path, hash AS again
       FROM (SELECT DISTINCT {_hash("hash")} AS hash FROM chunks) WHERE hash IS NOT NULL""",
     "snapshot_totals": f"WITH {ENTRIES} SELECT snapshot, CAST(coalesce(sum(size), 0) AS BIGINT) AS total_size, count(*) AS file_count, CAST(max(strlen(path)) AS BIGINT) AS path_width FROM e GROUP BY 1",
+    "auto_save_stream": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

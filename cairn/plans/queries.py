@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from cairn.functions import display, engines, hashes, patterns, text
 from cairn.functions.paths import nfc
 from cairn.operators import chunking, diff, gc, history, integrity, lineage, sync, textdiff
 from cairn.plans.fixtures import entries, files_a, files_b, paths, table
+from cairn.session import checkpoint_dir
+from cairn.streaming import autosave
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -389,3 +392,13 @@ def unified_diff(spark: SparkSession, d: str) -> DataFrame:
 def diff_stat(spark: SparkSession, d: str) -> DataFrame:
     rows = textdiff.stat(_versions(spark, d)).select("doc_id", F.col("inserted").cast("int"), F.col("deleted").cast("int"))
     return rows.withColumn("bar", display.stat_bar(F.col("inserted"), F.col("deleted")))
+
+
+@query
+def auto_save_stream(spark: SparkSession, d: str) -> DataFrame:
+    """Daily counters of the event stream, by a streaming query over the table's file."""
+    schema = table(spark, d, "events").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
+    place = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    autosave.run_to_end(autosave.event_counts(events, late=None), f"{place}/state", f"{place}/out")
+    return spark.read.parquet(f"{place}/out").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
