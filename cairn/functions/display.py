@@ -20,7 +20,7 @@ def human_bytes(size: Column) -> Column:
 
     text = F.when(magnitude < KB, F.concat(magnitude.cast("string"), F.lit(" B"))).when(magnitude < MB, units(KB, "KB")).when(magnitude < GB, units(MB, "MB"))
     text = text.otherwise(units(GB, "GB"))
-    return F.when(size < 0, F.concat(F.lit("-"), text)).otherwise(text)
+    return F.when(size < 0, F.concat(F.lit("-"), text)).when(size >= 0, text)
 
 
 def stat_bar(inserted: Column, deleted: Column, width: int = 10) -> Column:
@@ -63,7 +63,8 @@ def minute_text(seconds: Column) -> Column:
 
 def duration_text(seconds: Column) -> Column:
     """`N min` below an hour, else hours with one decimal."""
-    return F.when(seconds < 3600, F.concat(F.floor(seconds / 60).cast("string"), F.lit(" min"))).otherwise(F.format_string("%.1f h", F.bround(seconds / 3600.0, 1)))
+    hours = F.format_string("%.1f h", F.bround(seconds / 3600.0, 1))
+    return F.when(seconds < 3600, F.concat(F.floor(seconds / 60).cast("string"), F.lit(" min"))).when(seconds >= 3600, hours)
 
 
 def dimensions_text(width: Column, height: Column) -> Column:
