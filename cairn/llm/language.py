@@ -126,18 +126,20 @@ class Scorer:
 
 
 def fit_counts(counts: dict[str, np.ndarray]) -> WordModel:
-    """A model from the counts of words by language."""
+    """A model from the counts of words by language. A language without any words is never chosen."""
     words = sorted(counts, key=lambda w: (-counts[w].sum(), w))[:VOCABULARY]
     table = np.array([counts[w] for w in words]).reshape(-1, K)
-    totals = table.sum(axis=0) + 1.0
-    rate = (table + 0.1) / totals
-    logs = np.log(rate)
+    logs = np.log((table + 0.1) / (table.sum(axis=0) + 0.1 * len(words) + 1))
     logs = np.maximum(logs - logs.max(axis=1, keepdims=True), -WORD_LIMIT)
     groups = np.zeros((GRAMS, K))
     for word, n in zip(words, table):
         np.add.at(groups, grams(word), np.sqrt(n))
     groups = np.log((groups + 0.05) / (groups.sum(axis=0) + 0.05 * GRAMS))
-    return WordModel(words, logs.astype(np.float32), groups.astype(np.float32))
+    unknown = table.sum(axis=0) == 0
+    if not unknown.all():
+        logs[:, unknown], groups[:, unknown] = -WORD_LIMIT, groups.min() - WORD_LIMIT
+        logs -= logs.max(axis=1, keepdims=True)
+    return WordModel(words, np.maximum(logs, -WORD_LIMIT).astype(np.float32), groups.astype(np.float32))
 
 
 def decode(scores: np.ndarray) -> np.ndarray:
