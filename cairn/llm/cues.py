@@ -21,6 +21,8 @@ INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060\ufe0f\ufeff]")
 #: A cue without any of these is no advert (the quick test before the pattern).
 ADVERT_MARKS = ("www", "http", ".com", ".org", ".net", ".example", ".info", ".tv", "@", "===", "subtitle", "subbed", "synced", "corrected", "rip by", "join our", "vip member", "advertise", "team ")
 WORD = re.compile(r"[^\W\d_]+")
+#: Interjections that no language owns; a cue of nothing else has no language.
+INTERJECTIONS = frozenset("ah aah aaah ach aha ahh eh ehh ha haha hah he heh hehe hey hi ho hm hmm hmmm hum mm mmm mmmm o oh ohh oho ooh oooh ouch ow psst pst sh shh shhh uh uhh uhm um ugh wow yeah а ах эх ох ага ха хм м мм ммм о ой у ух".split())
 
 
 def _single_bytes() -> dict[int, int]:
@@ -69,7 +71,7 @@ def repair(text: str) -> str:
 
 def cue_words(text: str) -> list[list[str]]:
     """The lower-case words of each cue, in text order, without markup, sound descriptions and speakers; none for a cue
-    that is an advert. Numbers, times and blank lines are not needed to be right: a cue begins at its line of times."""
+    that is an advert or holds interjections only. Numbers, times and blank lines are not needed to be right: a cue begins at its line of times."""
     text = repair(text.replace("\r\n", "\n").replace("\r", "\n").replace("\u2028", "\n").replace("\u2029", "\n"))
     cues = HEAD.split(MARKUP.sub("", text))[1:]
     low = text.lower()
@@ -84,5 +86,6 @@ def cue_words(text: str) -> list[list[str]]:
         if doubtful and any(x in cue for x in ADVERT_MARKS) and ADVERT.search(cue):
             out.append([])
         else:
-            out.append(WORD.findall(cue))
+            words = WORD.findall(cue)
+            out.append([] if INTERJECTIONS.issuperset(words) else words)
     return out

@@ -48,8 +48,12 @@ VOCABULARY = 40_000
 EVIDENCE, CHANGE = 1.5, 4.0
 #: Cues in a row that make a segment.
 LEAST_RUN = 4
-#: Log odds that one word can add.
-WORD_LIMIT = 5.0
+#: Log odds that one word can add: a word of the vocabulary, another one by its letters.
+WORD_LIMIT, LETTER_LIMIT = 5.0, 2.5
+#: A cue of one different word counts only if the model has met the word so often and is so sure of it: else it may be a name.
+SINGLE_COUNT, SINGLE_EVIDENCE = 20, 4.0
+#: Different words from which a cue of the training sample is counted for its own language and not for its document's.
+OWN_WORDS = 3
 #: Hash buckets of letter groups, for words that are not in the vocabulary.
 GRAMS = 1 << 15
 #: Pseudo-documents that pull a source's shares towards the corpus.
@@ -79,6 +83,7 @@ class WordModel:
     words: list[str]
     table: np.ndarray  # (words, K)
     groups: np.ndarray  # (GRAMS, K)
+    singles: frozenset[str]  # words that alone make a cue of a language
 
 
 class Scorer:
@@ -101,7 +106,7 @@ class Scorer:
             block[i] = self.model.groups[grams(word)].sum(axis=0)
             self.ids[word] = self.size + i
         block -= block.max(axis=1, keepdims=True)
-        self.rows.append(np.maximum(0.6 * block, -WORD_LIMIT))
+        self.rows.append(np.maximum(0.6 * block, -LETTER_LIMIT))
         self.size += len(new)
 
     def score(self, cues: list[list[str]]) -> np.ndarray:
@@ -124,6 +129,14 @@ class Scorer:
         starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
         return sums[ends] - sums[starts] if len(cues) else np.zeros((0, K))
 
+    def spoken(self, cues: list[list[str]], scores: np.ndarray) -> np.ndarray:
+        """Indexes of the cues that have a language."""
+        if not len(scores):
+            return np.zeros(0, np.int64)
+        two = np.partition(scores, K - 2, axis=1)[:, K - 2 :]
+        sure = np.flatnonzero(two[:, 1] - two[:, 0] >= EVIDENCE).tolist()
+        return np.array([k for k in sure if len(set(cues[k])) > 1 or cues[k][0] in self.model.singles], np.int64)
+
 
 def fit_counts(counts: dict[str, np.ndarray]) -> WordModel:
     """A model from the counts of words by language. A language without any words is never chosen."""
@@ -135,11 +148,14 @@ def fit_counts(counts: dict[str, np.ndarray]) -> WordModel:
     for word, n in zip(words, table):
         np.add.at(groups, grams(word), np.sqrt(n))
     groups = np.log((groups + 0.05) / (groups.sum(axis=0) + 0.05 * GRAMS))
+    order = np.sort(logs, axis=1)
+    often = (table.sum(axis=1) >= SINGLE_COUNT) & (order[:, -1] - order[:, -2] >= SINGLE_EVIDENCE) if len(words) else []
+    singles = frozenset(w for w, yes in zip(words, often) if yes)
     unknown = table.sum(axis=0) == 0
     if not unknown.all():
         logs[:, unknown], groups[:, unknown] = -WORD_LIMIT, groups.min() - WORD_LIMIT
         logs -= logs.max(axis=1, keepdims=True)
-    return WordModel(words, np.maximum(logs, -WORD_LIMIT).astype(np.float32), groups.astype(np.float32))
+    return WordModel(words, np.maximum(logs, -WORD_LIMIT).astype(np.float32), groups.astype(np.float32), singles)
 
 
 def decode(scores: np.ndarray) -> np.ndarray:
@@ -187,10 +203,7 @@ def judge(scorer: Scorer, texts: list[str | None]) -> list[list[tuple[int, int,
     segments if there is more than one. Nothing for a text without a cue that has a language."""
     cues = [cue_words(x) if x else [] for x in texts]
     scores = [scorer.score(c) for c in cues]
-    spoken = []
-    for s in scores:
-        two = np.partition(s, K - 2, axis=1)[:, K - 2 :] if len(s) else np.zeros((0, 2))
-        spoken.append(np.flatnonzero(two[:, 1] - two[:, 0] >= EVIDENCE))
+    spoken = [scorer.spoken(c, s) for c, s in zip(cues, scores)]
     out: list[list[tuple[int, int, np.ndarray, int, int]]] = [[] for _ in texts]
     order = sorted((i for i in range(len(texts)) if len(spoken[i])), key=lambda i: len(spoken[i]))
     for at in range(0, len(order), 256):
@@ -212,7 +225,8 @@ def judge(scorer: Scorer, texts: list[str | None]) -> list[list[tuple[int, int,
 
 
 def fit(sample: list[tuple[str, str]]) -> WordModel:
-    """A model from (text, language of the label). The labels start it; then its own decisions on cues take their place."""
+    """A model from (text, language of the label). The labels start it; then its own decisions take their place: on cues of
+    several words for these, on documents for the others, so that names and cries stay as even as they are spread."""
     counts: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(K))
     parsed = [(cue_words(text), LANGS.index(lang)) for text, lang in sample]
     for cues, lang in parsed:
@@ -222,14 +236,16 @@ def fit(sample: list[tuple[str, str]]) -> WordModel:
     model = fit_counts(counts)
     for _ in range(ROUNDS):
         scorer, counts = Scorer(model), defaultdict(lambda: np.zeros(K))
-        for cues, _ in parsed:
+        for cues, label in parsed:
             scores = scorer.score(cues)
-            for cue, s in zip(cues, scores):
-                two = np.partition(s, K - 2)[K - 2 :]
-                if two[1] - two[0] >= EVIDENCE:
-                    best = int(s.argmax())
-                    for w in cue:
-                        counts[w][best] += 1
+            spoken = scorer.spoken(cues, scores)
+            best = scores.argmax(axis=1) if len(scores) else []
+            main = int(np.bincount(best[spoken]).argmax()) if len(spoken) else label
+            sure = set(spoken.tolist())
+            for k, cue in enumerate(cues):
+                own = int(best[k]) if k in sure and len(set(cue)) >= OWN_WORDS else main
+                for w in cue:
+                    counts[w][own] += 1
         model = fit_counts(counts)
     return model
 
