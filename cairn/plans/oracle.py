@@ -225,5 +225,9 @@ SQL = {
     "hash_paths": f"""SELECT hash, left(hash, 8) AS short, 'chunks/' || left(hash, 2) || '/' || substr(hash, 3) AS path, hash AS again
       FROM (SELECT DISTINCT {_hash("hash")} AS hash FROM chunks) WHERE hash IS NOT NULL""",
     "snapshot_totals": f"WITH {ENTRIES} SELECT snapshot, CAST(coalesce(sum(size), 0) AS BIGINT) AS total_size, count(*) AS file_count, CAST(max(strlen(path)) AS BIGINT) AS path_width FROM e GROUP BY 1",
+    "snapshot_check": f"""WITH {ENTRIES}, r AS (SELECT snapshot, CAST(coalesce(sum(size), 0) AS BIGINT) AS real_size, count(*) AS real_count FROM e GROUP BY 1),
+      s AS (SELECT DISTINCT {_hash("snapshot_id")} AS snapshot, total_size, file_count FROM snapshots)
+      SELECT s.*, coalesce(real_size, 0) AS real_size, coalesce(real_count, 0) AS real_count FROM s LEFT JOIN r USING (snapshot)
+      WHERE s.snapshot IS NOT NULL AND (total_size IS DISTINCT FROM coalesce(real_size, 0) OR file_count IS DISTINCT FROM coalesce(real_count, 0))""",
     "auto_save_stream": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

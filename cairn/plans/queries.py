@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cairn.functions import display, engines, hashes, patterns, text
+from cairn.functions import display, engines, hashes, patterns, payload, text
 from cairn.functions.paths import nfc
 from cairn.operators import chunking, diff, gc, history, integrity, lineage, sync, textdiff
 from cairn.plans.fixtures import entries, files_a, files_b, paths, table
@@ -370,6 +370,23 @@ def snapshot_totals(spark: SparkSession, d: str) -> DataFrame:
     return entries(spark, d).groupBy("snapshot").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total_size"), F.count("*").alias("file_count"), F.max(F.octet_length("path")).cast("long").alias("path_width"))
 
 
+@query
+def snapshot_check(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots whose stated size or number of files is not that of their list."""
+    rows = table(spark, d, "snapshots").select(hashes.clean_hash(F.col("snapshot_id")).alias("snapshot"), "total_size", "file_count").where("snapshot is not null").distinct()
+    real = entries(spark, d).groupBy("snapshot").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("real_size"), F.count("*").alias("real_count"))
+    both = rows.join(real, "snapshot", "left").fillna(0, ["real_size", "real_count"])
+    return both.where(~(F.col("total_size").eqNullSafe(F.col("real_size")) & F.col("file_count").eqNullSafe(F.col("real_count"))))
+
+
+@query
+def payload_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Stored form of the texts as one chunk each, unpacked again: whether it is compressed, and whether it is whole."""
+    rows = table(spark, d, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data"))
+    packed = rows.withColumn("stored", payload.encode_payload("data"))
+    return packed.select("doc_id", (F.octet_length("stored") <= F.octet_length("data")).alias("compressed"), payload.decode_payload("stored").eqNullSafe(F.col("data")).alias("whole"))
+
+
 @query
 def fastcdc_chunks(spark: SparkSession, d: str) -> DataFrame:
     files = table(spark, d, "documents").select("doc_id", F.encode("text", "utf-8").alias("content"))
