@@ -46,8 +46,9 @@ def goals(targets: DataFrame, supply: DataFrame) -> DataFrame:
 def solve_duals(goal_rows: DataFrame, histogram: DataFrame) -> DataFrame:
     """goal_rows with `rate`, min(cap, exp(dual)) at the solution of the dual; null without a goal.
 
-    The dual of a source is convex with slope sum(n * tokens * rate) - goal. A Newton step divides the slope by the curvature; a step
-    that leaves the known bracket is halved into it. Each step aggregates the histogram and cuts the lineage."""
+    The dual of a source is convex with slope mass - goal, where mass = sum(n * tokens * rate). The Newton step is taken on the
+    logarithm, ln(mass) = ln(goal), which is straight where no cap binds; a step that leaves the known bracket is halved
+    into it. Each step aggregates the histogram and cuts the lineage."""
     state = cut(
         goal_rows.where("goal is not null").select(
             "mix", "source", "goal", F.col("cap").cast("double").alias("cap"), F.lit(0.0).alias("dual"), F.lit(-60.0).alias("low"), F.lit(60.0).alias("high")
@@ -61,7 +62,7 @@ def solve_duals(goal_rows: DataFrame, histogram: DataFrame) -> DataFrame:
             F.sum(mass).alias("mass"), F.sum(F.when(F.exp("dual") < ceiling, mass).otherwise(0.0)).alias("curve")
         )
         slope = F.col("mass") - F.col("goal")
-        step = F.col("dual") - F.try_divide(slope, F.col("curve"))
+        step = F.col("dual") + F.ln(F.col("goal") / F.col("mass")) * F.try_divide(F.col("mass"), F.col("curve"))
         done = F.abs(slope) <= F.col("goal") * TOLERANCE
         low, high = F.when(slope < 0, F.col("dual")).otherwise(F.col("low")), F.when(slope > 0, F.col("dual")).otherwise(F.col("high"))
         moved = state.join(sums, ["mix", "source"]).withColumns({"done": done, "low": low, "high": high, "step": step})
