@@ -177,23 +177,15 @@ def accept(open_labels: DataFrame, sets: DataFrame) -> DataFrame:
     return open_keys if accepted is None else cut(accepted)
 
 
-def repeats(entries: DataFrame, recall: float = RECALL) -> DataFrame:
-    """(accepted_id, entry_id, common, total): each entry that repeats an accepted one, with the accepted entry of highest
-    likeness (on ties the lowest id) among those before it. Batch 0 is history: all its entries are accepted.
+def settle(members: DataFrame, sets: DataFrame, later: DataFrame, history: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Repeats among members, and the keys (key) of the classes of `later` that are accepted.
 
-    common / total is the likeness. Entries without a usable hash are never repeats."""
-    members, sets = classes(entries)
-    depth = prefix_depth(recall)
-    all_labels = cut(labels(sets, depth))
-    history = merge_runs(all_labels.where("batch_no = 0"))
-    later = all_labels.where("batch_no > 0")
+    later: labels of the classes to be judged; history: the run of accepted classes before them; sets: all of both.
+    repeats: (accepted_id, entry_id, common, total), the accepted entry of highest likeness before each, on ties the lowest id."""
     known = cut(likeness(candidates(later, history), sets))
-
-    unsettled = later.join(known.select(F.col("query").alias("key")).distinct(), "key", "left_anti")
-    fresh = accept(unsettled, sets)
+    fresh = accept(later.join(known.select(F.col("query").alias("key")).distinct(), "key", "left_anti"), sets)
     refused = later.join(fresh, "key", "left_anti")
-    run = later.join(fresh, "key", "left_semi")
-    matches = known.unionByName(likeness(candidates(refused, run), sets))
+    matches = known.unionByName(likeness(candidates(refused, later.join(fresh, "key", "left_semi")), sets))
 
     # of each refused class, the accepted classes in their order that are better than all before them
     orders = sets.select("key", F.col("batch_no").alias("key_batch"))
@@ -206,9 +198,32 @@ def repeats(entries: DataFrame, recall: float = RECALL) -> DataFrame:
     best = F.max_by(F.struct(F.col("key"), F.col("common"), F.col("total")), F.struct("rate", (-F.col("key")).alias("minus")))
     near = own.groupBy("entry_id").agg(best.alias("b")).select(F.col("b.key").alias("accepted_id"), "entry_id", "b.common", "b.total")
 
-    kept = sets.where("batch_no = 0").select("key", F.size("ids").alias("n")).unionByName(sets.join(fresh, "key", "left_semi").select("key", F.size("ids").alias("n")))
-    equal = members.where("batch_no > 0").join(kept, "key").where("entry_id != key")
-    return near.unionByName(equal.select(F.col("key").alias("accepted_id"), "entry_id", F.col("n").alias("common"), F.col("n").alias("total")))
+    kept = sets.select("key", F.size("ids").alias("n")).join(refused.select("key").distinct(), "key", "left_anti")
+    equal = members.join(kept, "key").where("entry_id != key")
+    equal = equal.select(F.col("key").alias("accepted_id"), "entry_id", F.col("n").alias("common"), F.col("n").alias("total"))
+    return near.unionByName(equal), fresh
+
+
+def repeats(entries: DataFrame, recall: float = RECALL) -> DataFrame:
+    """(accepted_id, entry_id, common, total): each entry that repeats an accepted one, with the accepted entry of highest
+    likeness (on ties the lowest id) among those before it. Batch 0 is history: all its entries are accepted.
+
+    common / total is the likeness. Entries without a usable hash are never repeats."""
+    members, sets = classes(entries)
+    all_labels = cut(labels(sets, prefix_depth(recall)))
+    history = merge_runs(all_labels.where("batch_no = 0"))
+    return settle(members.where("batch_no > 0"), sets, all_labels.where("batch_no > 0"), history)[0]
+
+
+def next_batch(batch: DataFrame, history: DataFrame, accepted: DataFrame, recall: float = RECALL) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One batch against all that was accepted before: its repeats, and the run and the sets to keep for its accepted
+    entries (write_run, merge_runs). history: kept runs; accepted: kept sets (key, ids, batch_no). Only labels that the
+    batch shares with the runs lead to sets of the history; nothing of it is computed again."""
+    members, own = classes(batch)
+    later = cut(labels(own, prefix_depth(recall)))
+    names = ["key", "ids", "batch_no"]
+    found_, fresh = settle(members, accepted.select(*names).unionByName(own.select(*names)), later, history)
+    return found_, later.join(fresh, "key", "left_semi"), own.join(fresh, "key", "left_semi")
 
 
 def found(entries: DataFrame) -> DataFrame:

@@ -108,3 +108,24 @@ def test_runs_are_kept_and_merged(spark, tmp_path):
     assert merged.count() == 50 * forest.TREES
     pairs = forest.candidates(run, merged)
     assert {(r.query, r.key) for r in pairs.collect()} >= {(k, k) for k in range(50)}
+
+
+def test_batch_after_batch_equals_all_at_once(spark, tmp_path):
+    r = rng(13)
+    pool = [h(k) for k in range(300)]
+    base = [r.sample(pool, r.choice([3, 8, 20])) for _ in range(60)]
+    entries = [(k, k // 60, r.choice(base)[: r.randrange(2, 21)] + r.sample(pool, r.randrange(3))) for k in range(1, 300)]
+    history = accepted = None
+    got = []
+    for batch in range(5):
+        rows = frame(spark, [e for e in entries if e[1] == batch])
+        if batch == 0:
+            _, sets = forest.classes(rows)
+            run = forest.labels(sets, forest.prefix_depth())
+        else:
+            found, run, sets = forest.next_batch(rows, history, accepted)
+            got += [(min(x), max(x)) for x in ((r.accepted_id, r.entry_id) for r in found.collect())]
+        forest.write_run(run, str(tmp_path / f"run{batch}"))
+        sets.write.parquet(str(tmp_path / f"sets{batch}"))
+        history, accepted = (spark.read.parquet(*(str(tmp_path / f"{x}{b}") for b in range(batch + 1))) for x in ("run", "sets"))
+    assert sorted(got) == brute(entries)
