@@ -26,7 +26,10 @@ def orphan_rows(references: DataFrame, parents: DataFrame) -> DataFrame:
     A key goes to the join once, with its earliest reference, whatever number of rows refer to it, so a hot key costs
     one row a map task. Only keys with a fault are joined back to the rows."""
     used = references.where("key is not null")
-    keys = used.groupBy("key").agg(F.min("at").alias("first_at"))
+    others = [c for c in references.columns if c not in ("key", "at")]
+    # the counts read the columns that the join back needs, so both uses of the references share one scan and exchange
+    counts = [F.count(c).alias(f"_n{k}") for k, c in enumerate(others)]
+    keys = used.groupBy("key").agg(F.min("at").alias("first_at"), *counts).where(sum((F.col(f"_n{k}") for k in range(len(others))), F.lit(0)) >= 0)
     ok = parents.select(F.col("key").alias("parent_key"), "since")
     sound = (F.col("key") == F.col("parent_key")) & (F.col("since").isNull() | F.col("first_at").isNull() | (F.col("since") <= F.col("first_at")))
     faulty = keys.join(ok, sound, "left_anti").select("key")
