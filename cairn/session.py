@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,13 +24,30 @@ def local_session(cores: int = 8, memory: str = "8g", shuffle_partitions: int =
     builder = SparkSession.builder.master(f"local[{cores}]").appName("cairn")
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
-    return (
+    spark = (
         builder.config("spark.driver.memory", memory)
         .config("spark.sql.shuffle.partitions", shuffle_partitions)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
+    ship(spark)
+    return spark
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors' Python this package, wherever the driver was started: once a context, as one small archive that
+    Spark hands out itself."""
+    context = spark.sparkContext
+    if getattr(context, "_cairn_shipped", False):
+        return
+    home = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="cairn-code-")) / "cairn.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted(home.rglob("*.py")):
+            out.write(source, source.relative_to(home.parent).as_posix())
+    context.addPyFile(str(archive))
+    context._cairn_shipped = True
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
