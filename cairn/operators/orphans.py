@@ -6,11 +6,11 @@ references, for rows or for counts per table and period.
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cairn.functions.hashes import bytes_text, clean_hash, hash_bytes
+from cairn.functions.hashes import bytes_text, hash_bytes
+from cairn.session import cut
 
 
 def period(time: Column) -> Column:
@@ -83,7 +83,7 @@ def dangling_references(
     (ref_table, ref_id, period, target), one row a case: chunks of file_entries, targets of refs, and check_runs whose
     snapshot has no row or whose count of missing chunks is not the number of its missing targets (a null count is
     none). Unusable hashes refer to nothing."""
-    gone = missing_chunks(file_entries, snapshots, chunks, base_chunks).persist(StorageLevel.MEMORY_AND_DISK)
+    gone = cut(missing_chunks(file_entries, snapshots, chunks, base_chunks))  # read for rows and for counts
     of_entries = gone.select(F.lit("file_entries").alias("ref_table"), F.col("entry_id").cast("string").alias("ref_id"), period(F.col("at")).alias("period"), bytes_text(F.col("key")).alias("target"))
 
     ids = snapshot_parents(snapshots)

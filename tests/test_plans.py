@@ -6,7 +6,7 @@ import re
 import pytest
 
 import __spark_entry__ as entry
-from cairn.operators import gc
+from cairn.operators import gc, orphans
 from cairn.plans.fixtures import table
 
 DATA = "/root/testdata/sf0.001"
@@ -37,9 +37,10 @@ def test_filters_reach_the_scan(spark):
 
 
 def test_references_are_scanned_once(spark):
+    names = ("file_entries", "snapshots", "chunks", "base_chunks")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        df = entry.queries()["p2_found"](spark, DATA)
+        df = orphans.missing_chunks(*(table(spark, DATA, n) for n in names))
         df.collect()
         assert plan(df).count("ReusedExchange") >= 2 and "BroadcastExchange" not in plan(df)
     finally:
