@@ -1,6 +1,8 @@
+import numpy as np
+import pandas as pd
 from helpers import h, rng, spelled
 
-from cairn.llm import forest
+from cairn.llm import forest, runs
 
 SCHEMA = "entry_id bigint, batch_no int, chunks array<string>, key string, ids string, label string"
 
@@ -33,10 +35,22 @@ def run(spark, entries):
     return sorted(tuple(r) for r in forest.found(frame(spark, entries)).collect())
 
 
-def test_prefixes_are_widened_until_the_target():
-    depth = forest.prefix_depth()
-    assert forest.meeting(depth) >= forest.RECALL > forest.meeting(depth + 1)
-    assert forest.prefix_depth(0.99) > forest.prefix_depth(1 - 1e-12)
+def test_prefixes_are_as_long_as_the_target_allows():
+    """Beside a better match a longer prefix is enough; without any the widest is needed, and reaches the target."""
+    size = np.full(4, 20)
+    assert forest.need(np.array([0.7, 0.8, 0.95, 1.0]), size).tolist() == [2, 3, 4, 4]
+    for n in range(1, 300):
+        assert forest.TREES * forest.log_miss(np.array([2]), np.array([0.7]), np.array([n]))[0] <= np.log(1 - forest.RECALL)
+
+
+def test_ranges_are_found_by_bisection():
+    r = rng(5)
+    values = np.array(sorted(r.randrange(50) for _ in range(200)))
+    low = np.array([r.randrange(100) for _ in range(60)])
+    high, want = low + 80, np.array([r.randrange(-3, 55) for _ in range(60)])
+    for right, side in ((False, "left"), (True, "right")):
+        got = forest._bisect(values, low, high, want, right)
+        assert got.tolist() == [a + int(np.searchsorted(values[a:b], w, side)) for a, b, w in zip(low, high, want)]
 
 
 def test_against_brute_force(spark):
@@ -98,34 +112,69 @@ def test_empty(spark):
     assert run(spark, []) == [] and run(spark, [(1, 0, None)]) == [] and run(spark, [(1, 1, [h(1)])]) == []
 
 
-def test_runs_are_kept_and_merged(spark, tmp_path):
-    sets = frame(spark, [(k, 0, [h(k), h(k + 1)]) for k in range(50)])
-    _, classes = forest.classes(sets)
-    run = forest.labels(classes, 2)
-    for k, cond in enumerate(("key < 25", "key >= 25")):
-        forest.write_run(run.where(cond), str(tmp_path / str(k)))
-    merged = forest.merge_runs(*(spark.read.parquet(str(tmp_path / str(k))) for k in range(2)))
-    assert merged.count() == 50 * forest.TREES
-    pairs = forest.candidates(run, merged)
-    assert {(r.query, r.key) for r in pairs.collect()} >= {(k, k) for k in range(50)}
+def test_near_family_in_history(spark, monkeypatch):
+    """A family of near copies in batch 0 makes all trees hot: its members are compared by rare hashes, some in blocks."""
+    monkeypatch.setattr(forest, "PAIRS", 500)
+    r = rng(14)
+    core = [h(f"core{k}") for k in range(20)]
+    entries = []
+    for k in range(1, 330):
+        chunks = [*r.sample(core, 18), h(f"own{k}")] if k % 3 else [h(f"{k}-{j}") for j in range(5)]
+        entries.append((k, 0 if k < 220 else 1, chunks))
+    assert run(spark, entries) == brute(entries)
+
+
+def test_many_hashes_in_common_without_likeness(spark):
+    """Hot prefixes in most trees, but nothing alike: the rarest hashes tell."""
+    shared = [h(f"s{k}") for k in range(5)]
+    entries = [(k, k % 2, [*shared, *(h(f"{k}-{j}") for j in range(3))]) for k in range(400)]
+    assert run(spark, entries) == brute(entries) == []
+
+
+def test_blocks_give_the_best_match():
+    r = rng(15)
+    sets = [np.array(sorted(r.sample(range(40), r.randrange(8, 16)))) for _ in range(60)]
+    left = pd.DataFrame({"query": range(20), "least": 0.3, "ids": sets[:20]})
+    right = pd.DataFrame({"key": range(20, 60), "ids": sets[20:]})
+    got = {r.query: (r.key, r.common, r.total) for r in forest.block_best(left, right).itertuples()}
+    for q in range(20):
+        a = set(sets[q])
+        rate, key = max((len(a & set(s)) / len(a | set(s)), -k) for k, s in enumerate(sets[20:], 20))
+        assert (got[q][0] == -key and got[q][1] / got[q][2] == rate) if rate >= 0.3 else q not in got
+
+
+def test_runs_are_searched_and_merged(spark, tmp_path):
+    forest_ = forest.Forest(spark, str(tmp_path))
+    for k in range(5):
+        sets = spark.createDataFrame([(k * 50 + i, [k * 100 + i, k * 100 + i + 1]) for i in range(50)], "key long, ids array<bigint>")
+        forest_.add(sets)
+    assert len(forest_.labels) == 2 and sum(p.rows for run in forest_.labels for p in run) == 250 * (forest.TREES + 1)
+    again = forest.Forest(spark, str(tmp_path))  # by the manifest alone
+    asked = spark.createDataFrame([(1000, [120, 121]), (1001, [7, 8]), (1002, [9999])], "key long, ids array<bigint>")
+    assert {(r.query, r.key) for r in again.matches(asked).collect()} == {(1000, 70), (1001, 7)}
+
+
+def test_a_search_reads_the_row_groups_it_needs(spark, tmp_path):
+    rows = spark.range(40_000).selectExpr("id * 10 as key", "array(id) as ids")
+    parts = runs.write_run(rows, "key", str(tmp_path), 40_000, 100)
+    reader = runs.Reader(parts[0].path, "key")
+    assert sum(p.rows for p in parts) == 40_000 and reader.rows(np.array([parts[0].low, parts[0].low + 10])).num_rows == 100
+    asked = spark.createDataFrame([(50,), (51,), (399_990,), (400_000,)], "key long")
+    found = runs.visit(asked, "key", runs.Places([parts]), forest.fetch, "key long, ids array<bigint>").collect()
+    assert sorted((r.key, r.ids[0]) for r in found) == [(50, 5), (399_990, 39_999)]
 
 
 def test_batch_after_batch_equals_all_at_once(spark, tmp_path):
+    """Each batch on its own, with the forest opened anew from its folder."""
     r = rng(13)
     pool = [h(k) for k in range(300)]
     base = [r.sample(pool, r.choice([3, 8, 20])) for _ in range(60)]
     entries = [(k, k // 60, r.choice(base)[: r.randrange(2, 21)] + r.sample(pool, r.randrange(3))) for k in range(1, 300)]
-    history = accepted = None
     got = []
     for batch in range(5):
-        rows = frame(spark, [e for e in entries if e[1] == batch])
-        if batch == 0:
-            _, sets = forest.classes(rows)
-            run = forest.labels(sets, forest.prefix_depth())
-        else:
-            found, run, sets = forest.next_batch(rows, history, accepted)
-            got += [(min(x), max(x)) for x in ((r.accepted_id, r.entry_id) for r in found.collect())]
-        forest.write_run(run, str(tmp_path / f"run{batch}"))
-        sets.write.parquet(str(tmp_path / f"sets{batch}"))
-        history, accepted = (spark.read.parquet(*(str(tmp_path / f"{x}{b}") for b in range(batch + 1))) for x in ("run", "sets"))
+        place = str(tmp_path / f"in{batch}")
+        forest.staged(frame(spark, [e for e in entries if e[1] == batch]), place)
+        sets, members = (spark.read.parquet(f"{place}/{t}").drop("batch_no") for t in ("sets", "members"))
+        found = forest.Forest(spark, str(tmp_path / "forest")).next_batch(sets, members, batch != 0)
+        got += [(min(x), max(x)) for x in ((r.accepted_id, r.entry_id) for r in found.collect())]
     assert sorted(got) == brute(entries)
