@@ -93,14 +93,15 @@ class Places:
         self.paths = [p.path for run in runs for p in run]
         self.marks = [np.array(p.marks, np.int64) for run in runs for p in run]
         ends = np.cumsum([0, *map(len, runs)]).tolist()
-        self.runs = [(first, np.array([p.low for p in run], np.int64), np.array([p.high for p in run], np.int64)) for first, run in zip(ends, runs) if run]
+        self.runs = [(first, np.array([p.low for p in run], np.int64), np.array([p.high for p in run], np.int64)) for first, run in zip(ends, runs)]
 
-    def route(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(index of the point, file, slice of the file) of every file that may hold a point."""
+    def route(self, points: np.ndarray, only: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(index of the point, file, slice of the file) of every file that may hold a point; with `only` of that run."""
         at, files = [], []
-        for first, lows, highs in self.runs:
+        for run, (first, lows, highs) in enumerate(self.runs):
             begin, end = np.searchsorted(highs, points, "left"), np.searchsorted(lows, points, "right")
             n = np.maximum(end - begin, 0)
+            n = n if only is None else np.where(only == run, n, 0)
             at.append(np.repeat(np.arange(len(points)), n))
             files.append(first + np.repeat(begin, n) + ramp(n))
         at, files = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (at, files))
@@ -133,14 +134,16 @@ class Reader:
         return self.file.read_row_groups(np.flatnonzero(hit).tolist()).combine_chunks()
 
 
-def visit(rows: DataFrame, by: str, places: Places, look: Callable[[pa.Table, pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
+def visit(rows: DataFrame, by: str, places: Places, look: Callable[[pa.Table, pa.RecordBatch], pa.RecordBatch], schema: str, only: str | None = None) -> DataFrame:
     """look(rows of the file, rows sorted by `by`) for each file that may hold points of `rows`. Only `rows` are shuffled:
-    by file and slice, so a file that many points ask for is read by several tasks, each its own row groups."""
+    by file and slice, so a file that many points ask for is read by several tasks, each its own row groups. `only` names a
+    column with the number of the one run to search.
+    """
     names = rows.columns
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at, files, slices = places.route(batch.column(by).to_numpy())
+            at, files, slices = places.route(batch.column(by).to_numpy(), None if only is None else batch.column(only).to_numpy())
             columns = [pa.array(files.astype(np.int32)), pa.array(slices.astype(np.int32)), *(c.take(pa.array(at)) for c in batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=["_file", "_slice", *names])
 
