@@ -47,6 +47,10 @@ def p8_segments(spark: SparkSession, d: str) -> DataFrame:
     return language.document_languages(table(spark, d, "documents"))
 
 
+def p8_reliability(spark: SparkSession, d: str) -> DataFrame:
+    return language.reliability(p8_segments(spark, d))
+
+
 def _sql_hash(column: str) -> str:
     plain = f"lower(regexp_replace({column}, '[\\s\\p{{Z}}/]+', '', 'g'))"
     return f"CASE WHEN regexp_full_match({plain}, '[0-9a-f]{{64}}') AND {plain} <> repeat('0', 64) THEN {plain} END"
@@ -57,5 +61,5 @@ firsts AS (SELECT h, min(put_id) AS first_id FROM puts WHERE h IS NOT NULL GROUP
 SELECT DISTINCT put_id FROM puts JOIN firsts USING (h)
 WHERE put_id > first_id OR h IN (SELECT {_sql_hash("hash")} FROM base_chunks)"""
 
-QUERIES = {"p1_found": p1_found, "p1_repeats": p1_repeats, "p4_found": p4_found, "p4_audit": p4_audit, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments}
+QUERIES = {"p1_found": p1_found, "p1_repeats": p1_repeats, "p4_found": p4_found, "p4_audit": p4_audit, "p6_ids": p6_ids, "p7_mix": p7_mix, "p7_shares": p7_shares, "p8_found": p8_found, "p8_segments": p8_segments, "p8_reliability": p8_reliability}
 SQL = {"p4_found": _P4}

@@ -118,11 +118,76 @@ def test_label_and_source_decide_where_words_hardly_do(spark, model):
         assert language.wrong_labels(language.document_languages(df, model)).collect() == []
 
 
-def test_shares_cover_all_and_smooth(spark):
-    df = documents(spark, [("x", "en", "s")] * 90 + [("x", "de", "t")] * 10 + [("x", "bad", None)])
-    shares = {x.source: np.exp(x.shares) for x in language.source_shares(df).collect()}
-    assert set(shares) == {"s", "t", None} and all(abs(x.sum() - 1) < 1e-9 for x in shares.values())
-    assert shares["s"][0] > shares[None][0] > shares["t"][0] > 0.5
+def evidence(spark, rows):
+    """rows: (source, title, label, language, log odds of that language)."""
+    def odds(lang, x):
+        return [x if k == lang else 0.0 for k in range(language.K)]
+
+    made = [(i, s, t, label, [(lang, 0, 4, odds(lang, x))], odds(lang, x / 4)) for i, (s, t, label, lang, x) in enumerate(rows)]
+    return spark.createDataFrame(made, language.HEARD)
+
+
+def test_host_shares_are_smoothed_by_title_source_and_corpus(spark):
+    rows = [("s", 1, "en", 0, 50.0)] * 90 + [("s", 2, "de", 1, 50.0)] * 10 + [("t", 3, "de", 1, 50.0)] * 40 + [(None, None, "bad", 2, 1.0)]
+    counts = language.tallies(evidence(spark, [(s, t, label if label in language.LANGS else None, *r) for s, t, label, *r in rows]))
+    got = {(x.source, x.title): x for x in language.hosts(counts, language.label_worth(counts)).collect()}
+    assert set(got) == {("s", 1), ("s", 2), ("t", 3), (None, None)} and all(abs(sum(x.prior) - 1) < 1e-9 for x in got.values())
+    assert got["s", 1].prior[0] > got[None, None].prior[0] > got["t", 3].prior[0] and got["s", 2].held[1] == 10
+    assert sum(got[None, None].held) == 0  # its words leave doubt
+
+
+def test_labels_are_worth_what_they_prove_to_be(spark):
+    """A label of a language that is often wrong counts little, also where its source is better than others."""
+    rows = [("good", 1, "en", 0, 50.0)] * 300 + [("bad", 1, "en" if k % 2 else "de", 0, 50.0) for k in range(300)]
+    counts = language.tallies(evidence(spark, rows))
+    labels = language.label_worth(counts)
+    agree = {x.source: x.agree[0] for x in language.hosts(counts, labels).collect()}
+    assert agree["good"] > 0.93 and 0.45 < agree["bad"] < 0.6 and labels.other[1] > 0.9
+    given = language.label_likelihood(np.array([agree["bad"]] * language.K), labels, 0)
+    assert given[0] > given[1] and abs(sum(language.label_likelihood(np.full(language.K, 0.8), labels, x)[2] for x in range(language.K)) - 1) < 1e-9
+
+
+def test_weak_words_are_decided_by_label_and_host(spark):
+    sound = [("s", 1, "de", 1, 50.0)] * 60 + [("t", 2, "en", 0, 50.0)] * 60
+    ev = evidence(spark, sound + [("s", 1, "de", 0, 0.5), ("s", 1, None, 0, 0.5), ("s", 1, "de", 0, 60.0)])
+    counts = language.tallies(ev)
+    labels = language.label_worth(counts)
+    known = language.hosts(counts, labels).withColumnsRenamed({"source": "hs", "title": "ht"})
+    joined = ev.join(known, ev["source"].eqNullSafe(known["hs"]) & ev["title"].eqNullSafe(known["ht"]))
+
+    def langs(**options):
+        return [x.lang for x in language.fuse(joined, labels, (1.0, 0.0), **options).where("doc_id >= 120").orderBy("doc_id").collect()]
+
+    assert langs() == ["de", "de", "en"]
+    assert langs(use_label=False) == ["de", "de", "en"] and langs(use_host=False) == ["de", "en", "en"] and langs(use_label=False, use_host=False) == ["en"] * 3
+
+
+def test_segments_that_become_one_language_are_one(spark):
+    part = lambda lang, first, x: (lang, first, 4, [x if k == lang else 0.0 for k in range(language.K)])
+    rows = [(1, "s", 1, "de", [part(1, 0, 90.0), part(1, 0, 40.0), part(0, 4, 0.1), part(1, 8, 40.0), part(2, 12, 40.0)], [0.0] * language.K)]
+    rows += [(k, "s", 1, "de", [part(1, 0, 50.0)], [0.0] * language.K) for k in range(2, 200)]
+    ev = spark.createDataFrame(rows, language.HEARD)
+    counts = language.tallies(ev)
+    known = language.hosts(counts, language.label_worth(counts)).drop("source", "title")
+    got = language.fuse(ev.withColumn("one", F.lit(1)).join(known.withColumn("one", F.lit(1)), "one"), language.label_worth(counts), (1.0, 0.0)).where("doc_id = 1").collect()
+    assert [(x.seg_no, x.lang, x.n_cues) for x in got] == [(0, "de", 4), (1, "de", 12), (2, "fr", 4)]
+
+
+def test_tempering_follows_the_labels(spark):
+    """Cues that seem sure and are wrong as often as right call for more tempering than cues that are right."""
+    def fitted(rows):
+        ev = evidence(spark, rows)
+        return language.fit_temper(ev, language.Labels(np.full(language.K, 0.95), np.full(language.K, 0.1)))
+
+    assert fitted([("s", 1, "en", 0, 80.0)] * 100)[0] < fitted([("s", 1, "en" if k % 3 else "de", 0, 80.0) for k in range(100)])[0]
+
+
+def test_reliability(spark):
+    rows = [(k, 0, "en", 0.95 if k < 10 else 1.0, "en" if k else "de", 0, 1) for k in range(20)] + [(99, 0, "en", 0.5, None, 0, 1)]
+    judged = spark.createDataFrame(rows, language.JUDGED)
+    assert {x.bin: (x.documents, x.agreement) for x in language.reliability(judged).collect()} == {1: (10, 0.9), 6: (10, 1.0)}
+    truth = spark.createDataFrame([(99, "en"), (1, "de")], "doc_id long, lang string")
+    assert {x.bin: x.agreement for x in language.reliability(judged, truth).collect()} == {0: 1.0, 1: 0.0}
 
 
 def test_empty_table(spark):
