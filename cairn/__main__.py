@@ -85,7 +85,7 @@ def run(p: commands.Project, a: argparse.Namespace) -> object:
         "init": lambda: commands.init(p), "save": lambda: commands.save(p, a.message, a.tag), "status": lambda: commands.status(p),
         "log": lambda: commands.log_detail(p, a.detail) if a.detail else commands.log(p, a.branch, a.all, a.limit), "show": lambda: commands.show(p, a.version, a.path),
         "diff": lambda: commands.compare(p, a.old, a.new, a.file, a.stat), "check": lambda: commands.check(p, a.filter, a.verbose), "gc": lambda: s.collect_garbage(a.keep_auto, a.dry_run),
-        "compact": lambda: {"version": s.compact()}, "undo": lambda: {"id": s.undo(p.files())}, "restore": lambda: commands.restore(p, a.version, a.path, not a.no_backup),
+        "compact": lambda: s.compact(), "undo": lambda: {"id": s.undo(p.files())}, "restore": lambda: commands.restore(p, a.version, a.path, not a.no_backup),
         "resolve": lambda: s.resolve(a.version), "switch": lambda: commands.switch(p, a.name, a.create, not a.no_autosave), "export": lambda: commands.export(p, a.version, a.output),
         "import": lambda: commands.import_file(p, a.branch, a.path), "clone": lambda: commands.clone(p, a.location), "ls-remote": lambda: commands.ls_remote(p, a.remote), "version": lambda: __version__,
     }

@@ -34,7 +34,8 @@ class Project:
 
     @property
     def store(self) -> Store:
-        return Store(self.spark, self.location or "file://" + os.path.join(os.path.abspath(self.root), workspace.STORE_DIR))
+        c = self.config
+        return Store(self.spark, self.location or "file://" + os.path.join(os.path.abspath(self.root), workspace.STORE_DIR), c.compress, c.compression_level)
 
     def own(self, name: str) -> str:
         place = os.path.join(self.root, workspace.STORE_DIR)
@@ -171,7 +172,7 @@ def check(p: Project, pattern: str | None = None, verbose: bool = False) -> dict
         entries = entries.where(glob_match(F.col("path"), pattern))
     used = integrity.file_chunks(entries, ["snapshot_id", "path"])
     states = integrity.chunk_states(used, s.read("chunks"))
-    found = integrity.report(states, integrity.hash_mismatches(entries)).first().asDict()
+    found = integrity.report(states, integrity.hash_mismatches(entries), s.corrupt_snapshots()).first().asDict()
     found["unreachable_snapshots"] = gc.unreachable(manifests(s), s.read("refs")).count()
     if verbose:
         found["bad"] = [r.asDict() for r in integrity.verbose(used, states).where("state != 'OK'").collect()]
@@ -243,15 +244,15 @@ def clone(p: Project, location: str) -> dict[str, Any]:
     remotes.add("origin", location)
     remotes.save(p.own("remotes.json"))
     counts = p.store.pull(Store(p.spark, location))
-    names = p.store.refs()
-    return counts | {"branches": sum(n.startswith("heads/") for n in names), "tags": sum(n.startswith("tags/") for n in names)}
+    return counts | history.ref_counts(p.store.read("refs")).first().asDict()
 
 
-def envelope(command: str, data: Any = None, error: str | None = None, hint: str | None = None) -> str:
-    """The one form of all answers: command, status, error or data, and a hint that is null if there is none."""
-    body: dict[str, Any] = {"command": command, "status": "failed" if error else "ok"}
-    body |= {"error": error} if error else {"data": data}
-    return json.dumps(body | {"hint": hint}, ensure_ascii=False, default=str)
+def envelope(command: str, data: Any = None, error: str | None = None, hint: str | None = None, status: str | None = None, detail: str | None = None) -> str:
+    """The one form of all answers: command, status (ok, failed, warning or active), error, and error_detail if there is
+    one, or data, and a hint that is null if there is none."""
+    body: dict[str, Any] = {"command": command, "status": status or ("failed" if error else "ok")}
+    body |= {k: v for k, v in (("error", error), ("error_detail", detail)) if v} if error else {"data": data}
+    return json.dumps(body | {"hint": hint}, ensure_ascii=False, default=str, separators=(",", ":"))
 
 
 def rows_of(result: Any) -> Any:

@@ -90,6 +90,11 @@ def mime_of(engine: Column) -> Column:
     return F.when(engine == "text", "text/plain").otherwise("application/octet-stream")
 
 
+#: The (min, avg, max) of content-defined chunks by type and size of the file, all in bytes.
+_K, _M = 1 << 10, 1 << 20
+CHUNK_SIZES = [(4 * _K, 8 * _K, 16 * _K), (128 * _K, 256 * _K, 512 * _K), (256 * _K, 512 * _K, _M), (512 * _K, _M, 2 * _M), (512 * _K, _M, 4 * _M), (_M, 2 * _M, 4 * _M)]
+
+
 def chunk_strategy(engine: Column, size: Column) -> Column:
     """Struct (min, avg, max) of content-defined chunk sizes; all null where the file is one chunk (text below 64 KiB)."""
     k, m = 1 << 10, 1 << 20

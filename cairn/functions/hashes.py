@@ -46,10 +46,6 @@ def short_id(text: Column) -> Column:
     return F.substring(text, 1, 8)
 
 
-def is_zero(text: Column) -> Column:
-    return text.isNull() | (text == ZERO)
-
-
 def hash_path(text: Column, prefix: str = "") -> Column:
     """Sharded object path `ab/cdef...`, under a prefix such as `chunks/`."""
     return F.concat(F.lit(prefix), F.substring(text, 1, 2), F.lit("/"), F.substring(text, 3, 62))

@@ -123,10 +123,10 @@ def with_file_hash(chunks: DataFrame, keys: list[str]) -> DataFrame:
 
 def reassemble(listed: DataFrame, store: DataFrame, keys: list[str]) -> DataFrame:
     """keys, content: chunks (keys, idx, hash) joined with store (hash, data) and put together in order. content is null
-    if any chunk is missing or has no data."""
-    rows = listed.join(store.select("hash", "data"), "hash", "left")
+    if any chunk is missing, has no data, or data of another digest than its hash."""
+    rows = listed.join(sound(store).select("hash", "data"), "hash", "left")
     grouped = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("idx", "data"))).alias("_parts"), F.bool_and(F.col("data").isNotNull()).alias("_whole"))
-    joined = F.aggregate("_parts", F.lit(b"").cast("binary"), lambda done, x: F.concat(done, x["data"]))
+    joined = F.unhex(F.array_join(F.transform("_parts", lambda x: F.hex(x["data"])), ""))  # one pass over the bytes
     return grouped.select(*keys, F.when(F.col("_whole"), joined).alias("content"))
 
 
@@ -138,18 +138,36 @@ def dedup_stats(chunks: DataFrame) -> DataFrame:
     )
 
 
+def sound(chunks: DataFrame) -> DataFrame:
+    """Chunks (hash, data) whose data has the digest that names it."""
+    return chunks.where(digest(F.col("data")) == F.col("hash"))
+
+
 def new_chunks(incoming: DataFrame, stored: DataFrame) -> DataFrame:
-    """Chunks to append: one row a hash, without those that are stored. Putting a chunk twice changes nothing."""
-    return incoming.dropDuplicates(["hash"]).join(stored.select("hash"), "hash", "left_anti")
+    """Chunks to append: one row a hash, without those that are stored. Putting a chunk twice changes nothing. Rows with
+    data of another digest are left out."""
+    rows = sound(incoming) if "data" in incoming.columns else incoming
+    return rows.dropDuplicates(["hash"]).join(stored.select("hash"), "hash", "left_anti")
 
 
 def ingest(files: DataFrame, key: str, sizes: dict[str, tuple[int, int, int]] | None = None, engine: Column | None = None) -> DataFrame:
-    """Content-defined chunks of files with the sizes of their type; types without sizes are one chunk."""
-    typed = files.withColumn("_engine", engine if engine is not None else F.lit("binary"))
-    parts = [cdc_chunks(typed.where(F.col("_engine") == name), key, sizes=triple) for name, triple in (sizes or {"binary": CDC_DEFAULT}).items()]
-    rest = typed.where(~F.col("_engine").isin(list(sizes or {"binary": CDC_DEFAULT}))).where("content is not null")
-    data = F.col("content").cast("binary")
-    whole = rest.select(key, F.lit(0).alias("idx"), F.lit(0).cast("long").alias("offset"), F.octet_length(data).cast("long").alias("size"), digest(data).alias("hash"))
-    for part in parts:
-        whole = whole.unionByName(part)
-    return whole
+    """key, idx, offset, size, hash: content-defined chunks of files with the sizes of their type, in one narrow pass; files
+    of types without sizes are one chunk. A null content has none."""
+    known = {name: clamp_cdc(*triple) for name, triple in (sizes or {"binary": CDC_DEFAULT}).items()}
+    kind = files.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple[int, int, int, int, str]] = []
+            for i, (name, data) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                if data is not None:
+                    start = 0
+                    for idx, end in enumerate((cut_points(data, *known[name]) if name in known else [len(data)]) or [0]):
+                        rows.append((i, idx, start, end - start, hashlib.sha256(data[start:end]).hexdigest()))
+                        start = end
+            at, *rest = zip(*rows) if rows else [()] * 5
+            columns = [pa.array(x, t) for x, t in zip(rest, (pa.int32(), pa.int64(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *columns], names=[key, "idx", "offset", "size", "hash"])
+
+    rows = files.select(key, (engine if engine is not None else F.lit("binary")).alias("_engine"), F.col("content").cast("binary").alias("_content"))
+    return rows.mapInArrow(run, f"{key} {kind}, idx int, offset long, size long, hash string")

@@ -106,6 +106,6 @@ def change_counts(changes: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def path_history(entries: DataFrame, depths: DataFrame) -> DataFrame:
-    """Entries of a linear chain with the hash the same path had in the version before, by depth."""
-    chain = Window.partitionBy("chain", "path").orderBy("depth")
+    """Entries with the hash the same path had in the version before, by depth, then snapshot. depths: (snapshot, chain, depth)."""
+    chain = Window.partitionBy("chain", "path").orderBy("depth", "snapshot")
     return entries.join(depths, "snapshot").withColumn("previous_hash", F.lag("file_hash").over(chain))

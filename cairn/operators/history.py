@@ -72,3 +72,8 @@ def current_branches(refs: DataFrame, scope: list[str]) -> DataFrame:
     tips = refs.select(*scope, F.col("name").alias("_branch"), F.col("target").alias("_tip")).distinct()
     rows = head.join(tips, [*scope, "_branch"], "left")
     return rows.select(*scope, F.regexp_replace("_branch", r"\Aheads/", "").alias("branch"), clean_hash(F.coalesce("_tip", "_own")).alias("id"))
+
+
+def ref_counts(refs: DataFrame) -> DataFrame:
+    """One row (branches, tags): numbers of references of each kind."""
+    return refs.agg(F.count_if(F.col("name").startswith("heads/")).alias("branches"), F.count_if(F.col("name").startswith("tags/")).alias("tags"))

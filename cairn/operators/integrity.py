@@ -24,12 +24,22 @@ def chunk_states(referenced: DataFrame, store: DataFrame) -> DataFrame:
     return rows.select("hash", F.when(F.col("_good").isNull(), "MISSING").when(F.col("_good"), "OK").otherwise("CORRUPT").alias("state"))
 
 
-def report(states: DataFrame, mismatches: DataFrame) -> DataFrame:
-    """One row: total_blocks, missing, corrupt, file_hash_mismatch."""
+def report(states: DataFrame, mismatches: DataFrame, corrupt_snapshots: DataFrame) -> DataFrame:
+    """One row: total_blocks, missing, corrupt, file_hash_mismatch, snapshot_corrupt."""
+    names = ["total_blocks", "missing", "corrupt", "file_hash_mismatch", "snapshot_corrupt"]
     a = states.agg(*(F.count_if(F.col("state") == s).alias(s.lower()) for s in ("MISSING", "CORRUPT")), F.count("*").alias("total_blocks"))
-    b = mismatches.agg(F.count("*").alias("n"))
-    rows = a.select(F.expr("stack(3, 'total_blocks', total_blocks, 'missing', missing, 'corrupt', corrupt) as (what, n)")).unionByName(b.select(F.lit("file_hash_mismatch").alias("what"), "n"))
-    return rows.agg(*(F.max(F.when(F.col("what") == x, F.col("n"))).alias(x) for x in ("total_blocks", "missing", "corrupt", "file_hash_mismatch")))
+    rows = a.select(F.expr("stack(3, 'total_blocks', total_blocks, 'missing', missing, 'corrupt', corrupt) as (what, n)"))
+    for name, found in (("file_hash_mismatch", mismatches), ("snapshot_corrupt", corrupt_snapshots)):
+        rows = rows.unionByName(found.agg(F.count("*").alias("n")).select(F.lit(name).alias("what"), "n"))
+    return rows.agg(*(F.max(F.when(F.col("what") == x, F.col("n"))).alias(x) for x in names))
+
+
+def wrong_totals(snapshots: DataFrame, entries: DataFrame) -> DataFrame:
+    """snapshots (snapshot, total_size, file_count) whose stated totals are not those of their list, entries (snapshot,
+    path, size), with real_size and real_count."""
+    real = entries.groupBy("snapshot").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("real_size"), F.count("*").alias("real_count"))
+    both = snapshots.join(real, "snapshot", "left").fillna(0, ["real_size", "real_count"])
+    return both.where(~(F.col("total_size").eqNullSafe(F.col("real_size")) & F.col("file_count").eqNullSafe(F.col("real_count"))))
 
 
 def verbose(refs: DataFrame, states: DataFrame) -> DataFrame:

@@ -64,13 +64,15 @@ def reachable(manifests: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def ancestry(manifests: DataFrame, pairs: DataFrame) -> DataFrame:
-    """pairs (descendant, ancestor, ...) with `is_ancestor`: null where the descendant is not in the table, true for
-    equal ids, else whether the ancestor is on the descendant's chain.
+    """pairs (descendant, ancestor, ...) with `is_ancestor`: true for equal ids and where the ancestor is on the descendant's
+    chain; null where the descendant is not in the table, or its chain ends at a missing snapshot before it could be met;
+    else false. `known`: the descendant is in the table.
 
     The test needs no walk: with unique parents, ancestor is on the chain if going up by the difference of the depths
     ends at it; the binary digits of the difference say which doubled links to take."""
     deep = cut(depths(manifests))
-    a = deep.select(F.col("id").alias("descendant"), F.col("depth").alias("_d"))
+    ends = manifests.select(F.col("id").alias("root"), F.col("parent").isNotNull().alias("_broken"))
+    a = deep.join(ends, "root", "left").select(F.col("id").alias("descendant"), F.col("depth").alias("_d"), F.coalesce("_broken", F.lit(False)).alias("_broken"))
     b = deep.select(F.col("id").alias("ancestor"), F.col("depth").alias("_a"))
     rows = pairs.join(a, "descendant", "left").join(b, "ancestor", "left").withColumn("at", F.col("descendant")).withColumn("_left", F.col("_d") - F.col("_a"))
     rows = cut(rows)
@@ -82,8 +84,9 @@ def ancestry(manifests: DataFrame, pairs: DataFrame) -> DataFrame:
         rows = cut(rows.join(step, "at", "left").withColumn("at", F.when((F.col("_left") > 0) & taken, F.col("_to")).otherwise(F.col("at"))).drop("_to"))
         up = jumps.select(F.col("id").alias("parent"), F.col("parent").alias("_up"))
         jumps = cut(jumps.join(up, "parent").select("id", F.col("_up").alias("parent")))
-    verdict = F.when(F.col("descendant") == F.col("ancestor"), True).when(F.col("_d").isNull(), None).otherwise(F.coalesce((F.col("_left") >= 0) & (F.col("at") == F.col("ancestor")), F.lit(False)))
-    return rows.withColumn("is_ancestor", verdict).drop("at", "_left", "_d", "_a")
+    met = F.coalesce((F.col("_left") >= 0) & (F.col("at") == F.col("ancestor")), F.lit(False))
+    verdict = F.when((F.col("descendant") == F.col("ancestor")) | met, True).when(F.col("_d").isNotNull() & ~F.col("_broken"), False)
+    return rows.withColumns({"is_ancestor": verdict, "known": F.col("_d").isNotNull()}).drop("at", "_left", "_d", "_a", "_broken")
 
 
 def resolve_symrefs(refs: DataFrame, scope: list[str], most: int = 8) -> DataFrame:

@@ -15,11 +15,6 @@ def missing(have: DataFrame, other: DataFrame, key: str) -> DataFrame:
     return have.join(other.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_anti")
 
 
-def present(have: DataFrame, other: DataFrame, key: str) -> DataFrame:
-    """Rows of have that the other side has too: what is skipped."""
-    return have.join(other.select(key).where(F.col(key).isNotNull()).distinct(), key, "left_semi")
-
-
 def plan_counts(kind: str, have: DataFrame, other: DataFrame, key: str, size: Column | None = None) -> DataFrame:
     """One row (kind, copied, skipped, bytes) of a transfer."""
     marked = have.join(other.select(key, F.lit(True).alias("_there")).distinct(), key, "left")
@@ -48,7 +43,8 @@ def _pairs(local: DataFrame, remote: DataFrame, key: str) -> tuple[DataFrame, Da
 def classify_push(local: DataFrame, remote: DataFrame, manifests: DataFrame, key: str = "ref_id") -> DataFrame:
     """(key, name, action) of each local reference: skip (no target), create, same, update (fast-forward) or diverge.
 
-    A remote target that the local history does not reach is divergence."""
+    A remote target that the local history does not reach is divergence, or `broken` where that history ends at a missing
+    snapshot, so that nothing can be said."""
     a, b = _pairs(local, remote, key)
     rows = a.join(b, key, "left").withColumns({"descendant": F.col("local"), "ancestor": F.col("remote")})
     rows = ancestry(manifests, rows)
@@ -56,16 +52,18 @@ def classify_push(local: DataFrame, remote: DataFrame, manifests: DataFrame, key
         F.when(F.col("local").isNull(), "skip")
         .when(F.col("remote").isNull(), "create")
         .when(F.col("local") == F.col("remote"), "same")
-        .when(F.coalesce("is_ancestor", F.lit(False)), "update")
+        .when(F.col("is_ancestor"), "update")
+        .when(F.col("is_ancestor").isNull() & F.col("known"), "broken")
         .otherwise("diverge")
     )
     return rows.select(*_named(key), action.alias("action"))
 
 
-def merge_pull(local: DataFrame, remote: DataFrame, manifests: DataFrame, key: str = "ref_id") -> DataFrame:
+def merge_pull(local: DataFrame, remote: DataFrame, manifests: DataFrame, key: str = "ref_id", scope: list[str] = []) -> DataFrame:  # noqa: B006
     """(key, name, action, new_name) of each remote reference: create, same, forward, or side, where the remote target is
-    kept under `<name>.remote` because the local one is no ancestor of it. A remote reference without a target is skipped."""
-    b = remote.withColumn("name", F.regexp_replace("name", r"\Arefs/", "")).select(*_named(key), clean_hash(F.col("target")).alias("remote")).distinct()
+    kept under `<name>.remote` because the local one is no ancestor of it; if that name (within scope) is taken by another
+    target, under `<name>.remote.<first 8 digits>`. A remote reference without a target is skipped."""
+    b = remote.withColumn("name", F.regexp_replace("name", r"\Arefs/", "")).select(*dict.fromkeys((*_named(key), *scope)), clean_hash(F.col("target")).alias("remote")).distinct()
     a = local.select(key, clean_hash(F.col("target")).alias("local"), F.lit(True).alias("_there")).distinct()
     rows = ancestry(manifests, b.join(a, key, "left").withColumns({"descendant": F.col("remote"), "ancestor": F.col("local")}))
     action = (
@@ -75,5 +73,9 @@ def merge_pull(local: DataFrame, remote: DataFrame, manifests: DataFrame, key: s
         .when(F.col("local").isNull() | F.coalesce("is_ancestor", F.lit(False)), "forward")
         .otherwise("side")
     )
-    side = F.when(F.col("action") == "side", F.concat("name", F.lit(".remote"))).otherwise(F.col("name"))
-    return rows.withColumn("action", action).select(*_named(key), "action", side.alias("new_name"))
+    taken = local.select(*scope, F.col("name").alias("_side"), clean_hash(F.col("target")).alias("_held")).where("_held is not null")
+    taken = taken.groupBy(*scope, "_side").agg(F.collect_set("_held").alias("_held"))  # a name has one target, or few in a table of many stores
+    rows = rows.withColumns({"action": action, "_side": F.concat("name", F.lit(".remote"))}).join(taken, [*scope, "_side"], "left")
+    other = F.exists(F.coalesce("_held", F.array().cast("array<string>")), lambda x: x != F.col("remote"))
+    side = F.when(other, F.concat("_side", F.lit("."), F.substring("remote", 1, 8))).otherwise(F.col("_side"))
+    return rows.select(*_named(key), "action", F.when(F.col("action") == "side", side).otherwise(F.col("name")).alias("new_name"))

@@ -34,11 +34,13 @@ def files_b(spark: SparkSession, d: str) -> DataFrame:
     return rows.withColumns({"file_hash": digest(F.col("text")), "size": F.octet_length("text").cast("long")})
 
 
-def entries(spark: SparkSession, d: str) -> DataFrame:
-    """file_entries with one row a snapshot and clean path: the one with the highest entry_id."""
+def entries(spark: SparkSession, d: str, only: DataFrame | None = None) -> DataFrame:
+    """file_entries with one row a snapshot and clean path: the one with the highest entry_id. only: (snapshot) to read the
+    lists of; the others are dropped before anything is shuffled."""
     rows = table(spark, d, "file_entries").select(
         clean_hash(F.col("snapshot_id")).alias("snapshot"), nfc(clean_path(F.col("path"))).alias("path"), "entry_id", clean_hash(F.col("file_hash")).alias("file_hash"), "size"
     )
+    rows = rows if only is None else rows.join(only, "snapshot", "left_semi")
     return latest(rows.where("snapshot is not null and path is not null"), ["snapshot", "path"], "entry_id", ["file_hash", "size"])
 
 

@@ -88,11 +88,12 @@ def _plan(a: str, b: str) -> str:
 
 
 ANCESTORS = """
-up AS (SELECT id, id AS anc FROM l UNION SELECT up.id, l.parent FROM up JOIN l ON l.id = up.anc WHERE l.parent IS NOT NULL)"""
+up AS (SELECT id, id AS anc FROM l UNION SELECT up.id, l.parent FROM up JOIN l ON l.id = up.anc WHERE l.parent IS NOT NULL),
+broken AS (SELECT up.id FROM up JOIN m ON m.id = up.anc WHERE m.parent IS NOT NULL AND m.parent NOT IN (SELECT id FROM m))"""
 
 PAIRS = f"""
 ours AS (SELECT DISTINCT ref_id, name, {_hash("target")} AS t FROM refs),
-theirs AS (SELECT DISTINCT ref_id, regexp_replace(name, '^refs/', '') AS name, {_hash("target")} AS t FROM remote_refs)"""
+theirs AS (SELECT DISTINCT ref_id, regexp_replace(name, '^refs/', '') AS name, repo_id, {_hash("target")} AS t FROM remote_refs)"""
 
 _TEXT_EXT = "txt|md|go|rs|js|ts|py|java|c|cpp|h|hpp|html|css|json|xml|yaml|yml|toml|ini|cfg|conf|sh|bat|ps1|rb|php|swift|kt|scala|r|sql|csv|log|svg|tex"
 
@@ -127,6 +128,28 @@ _REAL_LINES = f"CASE WHEN {_LINES}[-1] = '' THEN {_LINES}[:-2] ELSE {_LINES} END
 
 _GLOBS = {"**/*.psd": "(.*/)?[^/]*\\.psd", "*.md": "[^/]*\\.md", "oakum/**": "oakum/.*", "?????.txt": "[^/]{5}\\.txt", "[!a-m]*.go": "[^a-m][^/]*\\.go", "**/vale/**": "(.*/)?vale/.*"}
 
+_CHECK = f"""WITH {ENTRIES}, r AS (SELECT snapshot, CAST(coalesce(sum(size), 0) AS BIGINT) AS real_size, count(*) AS real_count FROM e GROUP BY 1),
+      s AS (SELECT DISTINCT {_hash("snapshot_id")} AS snapshot, total_size, file_count FROM snapshots)
+      SELECT s.*, coalesce(real_size, 0) AS real_size, coalesce(real_count, 0) AS real_count FROM s LEFT JOIN r USING (snapshot)
+      WHERE s.snapshot IS NOT NULL AND (total_size IS DISTINCT FROM coalesce(real_size, 0) OR file_count IS DISTINCT FROM coalesce(real_count, 0))"""
+
+_EDITED = "replace(text, '!', '.') || chr(10) || 'end' || chr(10)"
+
+
+def _lines_of(x: str) -> str:
+    """Lines of a text, without an empty last one."""
+    parts = f"regexp_split_to_array({x}, '\\r\\n|\\n|\\r')"
+    return f"(CASE WHEN {parts}[-1] = '' THEN {parts}[:-2] ELSE {parts} END)"
+
+
+_CLEAN_PATHS = f"(SELECT DISTINCT {_path()} AS p FROM file_entries WHERE path IS NOT NULL)"
+_ENTRY_NAME = "regexp_replace(ltrim(regexp_replace(replace(path, '\\', '/'), '^[A-Za-z]:', ''), '/'), '^\\.\\./', '')"
+_PARTS = "(SELECT p_partkey, p_partkey % 3 AS kind, CAST(p_size * 13 AS BIGINT) AS w, CAST(p_partkey % 500 + 1 AS BIGINT) AS h FROM part)"
+_KIND = "CASE {} % 3 WHEN 0 THEN 'PNG' WHEN 1 THEN 'GIF' ELSE 'BMP' END"
+_LENGTH = "CASE kind WHEN 0 THEN 29 WHEN 1 THEN 13 ELSE 54 END"
+_LOW = "greatest(CASE WHEN a < 0 THEN 512 ELSE a END, 64)"
+_HIGH = f"least(CASE WHEN c <= 0 OR c < {_LOW} THEN 524288 ELSE c END, 1073741824)"
+
 SQL = {
     "snapshot_diff": f"WITH {FILES} SELECT path, status FROM marked WHERE status <> 'unchanged'",
     "snapshot_diff_summary": f"WITH {FILES} SELECT status, count(*) AS files, CAST(sum(coalesce(sb, sa)) AS BIGINT) AS bytes FROM marked GROUP BY 1",
@@ -172,8 +195,8 @@ SQL = {
     "chain_depth": f"WITH RECURSIVE {MANIFEST}, {DEPTHS} SELECT id, CAST(depth AS BIGINT) AS depth, root FROM walk",
     "reachable_snapshots": f"WITH RECURSIVE {MANIFEST}, {REACHED} SELECT id FROM reached",
     "unreachable_snapshots": f"WITH RECURSIVE {MANIFEST}, {REACHED} SELECT id FROM m WHERE id NOT IN (SELECT id FROM reached)",
-    "ancestor_test": f"""WITH RECURSIVE {MANIFEST}, {ANCESTORS}, {PAIRS} SELECT o.ref_id, CASE WHEN o.t = t.t THEN true WHEN o.t NOT IN (SELECT id FROM m) THEN NULL
-      ELSE EXISTS (SELECT 1 FROM up WHERE up.id = o.t AND up.anc = t.t) END AS is_ancestor FROM ours o JOIN (SELECT DISTINCT ref_id, t FROM theirs) t USING (ref_id) WHERE o.t IS NOT NULL AND t.t IS NOT NULL""",
+    "ancestor_test": f"""WITH RECURSIVE {MANIFEST}, {ANCESTORS}, {PAIRS} SELECT o.ref_id, CASE WHEN o.t = t.t OR EXISTS (SELECT 1 FROM up WHERE up.id = o.t AND up.anc = t.t) THEN true
+      WHEN o.t IN (SELECT id FROM m) AND o.t NOT IN (SELECT id FROM broken) THEN false END AS is_ancestor FROM ours o JOIN (SELECT DISTINCT ref_id, t FROM theirs) t USING (ref_id) WHERE o.t IS NOT NULL AND t.t IS NOT NULL""",
     "log_default": f"""WITH RECURSIVE {MANIFEST}, {DEPTHS}, {NAMES}, {LOG} SELECT v.id, v.ts, CAST(v.depth AS BIGINT) AS depth, v.message, array_to_string(coalesce(branches, []), ',') AS branches,
       array_to_string(a.tags, ',') AS tags FROM visible v LEFT JOIN tips ON tips.id = v.id JOIN all_tags a ON a.id = v.id""",
     "log_all_paged": f"WITH RECURSIVE {MANIFEST}, {DEPTHS} SELECT id, ts, CAST(depth AS BIGINT) AS depth FROM m JOIN walk USING (id) ORDER BY ts DESC, depth DESC, id DESC LIMIT 25 OFFSET 20",
@@ -201,7 +224,8 @@ SQL = {
     "integrity_report": f"""WITH {INTEGRITY}, whole AS (SELECT DISTINCT entry_id, chunks, {_hash("file_hash")} AS fh FROM file_entries WHERE {_hash("file_hash")} IS NOT NULL AND chunks IS NOT NULL
         AND len([x FOR x IN chunks IF {_hash("x")} IS NULL]) = 0)
       SELECT count(*) AS total_blocks, count(*) FILTER (state = 'MISSING') AS missing, count(*) FILTER (state = 'CORRUPT') AS corrupt,
-      (SELECT count(*) FROM whole WHERE sha256(unhex(array_to_string([{_hash("x")} FOR x IN chunks], ''))) <> fh) AS file_hash_mismatch FROM states""",
+      (SELECT count(*) FROM whole WHERE sha256(unhex(array_to_string([{_hash("x")} FOR x IN chunks], ''))) <> fh) AS file_hash_mismatch,
+      (SELECT count(*) FROM ({_CHECK})) AS snapshot_corrupt FROM states""",
     "integrity_verbose": f"WITH {INTEGRITY} SELECT entry_id, idx, used.hash, state FROM used JOIN states ON states.hash = used.hash WHERE state <> 'OK'",
     "push_plan": _plan("stored", "remote"),
     "pull_plan": _plan("remote", "stored"),
@@ -209,10 +233,12 @@ SQL = {
       SELECT 'snapshot' AS kind, id FROM reached UNION ALL SELECT DISTINCT 'chunk', {_hash("c")} FROM (SELECT unnest(chunks) AS c FROM file_entries
       WHERE {_hash("snapshot_id")} IN (SELECT id FROM reached)) WHERE {_hash("c")} IS NOT NULL""",
     "ref_push_classify": f"""WITH RECURSIVE {MANIFEST}, {ANCESTORS}, {PAIRS} SELECT o.ref_id, o.name, CASE WHEN o.t IS NULL THEN 'skip' WHEN t.t IS NULL THEN 'create' WHEN o.t = t.t THEN 'same'
-      WHEN EXISTS (SELECT 1 FROM up WHERE up.id = o.t AND up.anc = t.t) THEN 'update' ELSE 'diverge' END AS action FROM ours o LEFT JOIN (SELECT DISTINCT ref_id, t FROM theirs) t USING (ref_id)""",
-    "ref_pull_merge": f"""WITH RECURSIVE {MANIFEST}, {ANCESTORS}, {PAIRS}, x AS (SELECT t.ref_id, t.name, CASE WHEN t.t IS NULL THEN 'skip' WHEN o.ref_id IS NULL THEN 'create' WHEN o.t = t.t THEN 'same'
+      WHEN EXISTS (SELECT 1 FROM up WHERE up.id = o.t AND up.anc = t.t) THEN 'update'
+      WHEN o.t IN (SELECT id FROM broken) THEN 'broken' ELSE 'diverge' END AS action FROM ours o LEFT JOIN (SELECT DISTINCT ref_id, t FROM theirs) t USING (ref_id)""",
+    "ref_pull_merge": f"""WITH RECURSIVE {MANIFEST}, {ANCESTORS}, {PAIRS}, x AS (SELECT t.ref_id, t.name, t.repo_id, t.t, CASE WHEN t.t IS NULL THEN 'skip' WHEN o.ref_id IS NULL THEN 'create' WHEN o.t = t.t THEN 'same'
       WHEN o.t IS NULL OR EXISTS (SELECT 1 FROM up WHERE up.id = t.t AND up.anc = o.t) THEN 'forward' ELSE 'side' END AS action FROM theirs t LEFT JOIN (SELECT DISTINCT ref_id, t FROM ours) o USING (ref_id))
-      SELECT *, CASE WHEN action = 'side' THEN name || '.remote' ELSE name END AS new_name FROM x""",
+      SELECT ref_id, name, action, CASE WHEN action <> 'side' THEN name WHEN EXISTS (SELECT 1 FROM refs r WHERE r.ref_id % 3 = 0 AND r.repo_id = x.repo_id AND r.name = x.name AND {_hash("r.target")} <> x.t)
+        THEN name || '.remote.' || left(t, 8) ELSE name || '.remote' END AS new_name FROM x""",
     "symref_resolve": f"""WITH RECURSIVE r AS (SELECT DISTINCT repo_id, name, {_hash("target")} AS target, nullif(symref, '') AS symref FROM refs),
       hop AS (SELECT repo_id, name, symref AS at, target, 0 AS n FROM r UNION ALL SELECT h.repo_id, h.name, r.symref, r.target, n + 1 FROM hop h JOIN r ON r.repo_id = h.repo_id AND r.name = h.at WHERE n < 8)
       SELECT r.repo_id, r.name, h.target AS resolved FROM r LEFT JOIN hop h ON h.repo_id = r.repo_id AND h.name = r.name AND h.at IS NULL""",
@@ -225,9 +251,54 @@ SQL = {
     "hash_paths": f"""SELECT hash, left(hash, 8) AS short, 'chunks/' || left(hash, 2) || '/' || substr(hash, 3) AS path, hash AS again
       FROM (SELECT DISTINCT {_hash("hash")} AS hash FROM chunks) WHERE hash IS NOT NULL""",
     "snapshot_totals": f"WITH {ENTRIES} SELECT snapshot, CAST(coalesce(sum(size), 0) AS BIGINT) AS total_size, count(*) AS file_count, CAST(max(strlen(path)) AS BIGINT) AS path_width FROM e GROUP BY 1",
-    "snapshot_check": f"""WITH {ENTRIES}, r AS (SELECT snapshot, CAST(coalesce(sum(size), 0) AS BIGINT) AS real_size, count(*) AS real_count FROM e GROUP BY 1),
-      s AS (SELECT DISTINCT {_hash("snapshot_id")} AS snapshot, total_size, file_count FROM snapshots)
-      SELECT s.*, coalesce(real_size, 0) AS real_size, coalesce(real_count, 0) AS real_count FROM s LEFT JOIN r USING (snapshot)
-      WHERE s.snapshot IS NOT NULL AND (total_size IS DISTINCT FROM coalesce(real_size, 0) OR file_count IS DISTINCT FROM coalesce(real_count, 0))""",
+    "snapshot_check": _CHECK,
+    "payload_sizes": "SELECT doc_id, true AS small, true AS whole FROM documents",
+    "fastcdc_chunks": "SELECT doc_id, sha256(text) AS content_hash, CAST(strlen(text) AS BIGINT) AS size, true AS bounded, true AS sound FROM documents WHERE text IS NOT NULL",
+    "unified_diff": f"SELECT doc_id, sha256(array_to_string({_lines_of(_EDITED)}, chr(10))) AS patched FROM documents WHERE text IS NOT NULL",
+    "diff_stat": f"SELECT doc_id, CAST(len({_lines_of(_EDITED)}) - len({_lines_of('text')}) AS INTEGER) AS net, true AS bar_fits FROM documents WHERE text IS NOT NULL",
+    "store_files": f"WITH {FILES} SELECT 0 AS version, path, sha256(text) AS content_hash FROM files_a UNION ALL SELECT 1, path, sha256(text) FROM files_b",
+    "watch_stream": "SELECT CAST(3 AS BIGINT) AS ticks, CAST(2 AS BIGINT) AS saves, CAST(0 AS BIGINT) AS errors, CAST(2 AS BIGINT) AS snapshots, CAST(2 AS BIGINT) AS autos",
+    "ingest_files": f"WITH {FILES} SELECT path, sha256(unhex(sha256(text))) AS file_hash, size, CAST(1 AS BIGINT) AS n_chunks, 'text/plain' AS mime, CAST(size AS INTEGER) AS stored FROM files_a",
+    "save_merge": "SELECT 'edited' AS workspace, true AS changed UNION ALL SELECT 'same', false",
+    "links_left_out": f"""WITH {FILES}, b AS (SELECT * FROM files_b WHERE file_hash[4] <> '0'), x AS (SELECT CASE WHEN a.path IS NULL THEN 'added' WHEN b.path IS NULL THEN 'deleted'
+      WHEN a.size <> b.size OR a.mod_time <> b.mod_time THEN 'modified' END AS status FROM files_a a FULL JOIN b ON a.path = b.path)
+      SELECT status, count(*) AS files FROM x WHERE status IS NOT NULL GROUP BY 1""",
+    "path_history": f"""WITH RECURSIVE {MANIFEST}, {DEPTHS}, {ENTRIES}, w AS (SELECT root AS chain, file_hash, lag(file_hash) OVER (PARTITION BY root, path ORDER BY depth, snapshot) AS previous
+      FROM e JOIN walk ON walk.id = e.snapshot) SELECT chain, count(*) AS entries, count(*) FILTER (previous IS NULL) AS first_seen, count(*) FILTER (previous <> file_hash) AS changed FROM w GROUP BY 1""",
+    "version_refs": f"""WITH {MANIFEST}, r AS (SELECT name, symref, {_hash("target")} AS t, target FROM refs),
+      h AS (SELECT DISTINCT {_hash("coalesce(b.target, a.target)")} AS id FROM refs a LEFT JOIN refs b ON b.name = a.symref WHERE a.name = 'HEAD')
+      SELECT 'HEAD' AS version, id FROM h WHERE id IN (SELECT id FROM m) UNION ALL SELECT DISTINCT 'main', t FROM r WHERE name = 'heads/main' AND t IN (SELECT id FROM m)
+      UNION ALL SELECT DISTINCT 'branch:main', t FROM r WHERE name = 'heads/main' AND t IN (SELECT id FROM m) UNION ALL SELECT DISTINCT 'tag:v1', t FROM r WHERE name = 'tags/v1' AND t IN (SELECT id FROM m)
+      UNION ALL SELECT 'id:0a1b', id FROM m WHERE starts_with(id, '0a1b')""",
+    "ref_counts": "SELECT count(*) FILTER (starts_with(name, 'heads/')) AS branches, count(*) FILTER (starts_with(name, 'tags/')) AS tags FROM refs",
+    "next_pack": "SELECT CAST(max(s_suppkey * 7) + 1 AS BIGINT) AS next_pack FROM supplier",
+    "loose_chunks": f"""WITH RECURSIVE {MANIFEST}, {GC}, n AS (SELECT count(*) FILTER (hash NOT IN (SELECT hash FROM live)) AS dead, count(*) FILTER (hash IN (SELECT hash FROM live)) AS kept FROM stored)
+      SELECT dead AS loose_deleted, CASE WHEN kept > 512 THEN kept ELSE 0 END AS loose_packed FROM n""",
+    "durations": """SELECT DISTINCT total_blocks * 360 AS seconds, CASE WHEN total_blocks * 360 < 3600 THEN CAST(total_blocks * 360 // 60 AS VARCHAR) || ' min'
+      ELSE printf('%.1f h', total_blocks / 10.0::DOUBLE) END AS shown FROM check_runs WHERE total_blocks IS NOT NULL""",
+    "dimension_texts": """SELECT DISTINCT CAST(p_size % 3 AS BIGINT) AS width, CAST(p_partkey % 4 AS BIGINT) AS height,
+      CASE WHEN p_size % 3 = 0 AND p_partkey % 4 = 0 THEN '' ELSE CAST(p_size % 3 AS VARCHAR) || 'x' || CAST(p_partkey % 4 AS VARCHAR) END AS shown FROM part""",
+    "archive_names": f"""WITH r AS (SELECT DISTINCT path FROM file_entries WHERE path IS NOT NULL), f AS (SELECT DISTINCT unnest([path, '/' || path, 'C:' || path, '../' || path, '../../' || path, 'a/../' || path, '//C:/' || path]) AS path FROM r)
+      SELECT path, CASE WHEN {_ENTRY_NAME} <> '' AND NOT list_contains(string_split({_ENTRY_NAME}, '/'), '..') THEN {_ENTRY_NAME} END AS entry FROM f""",
+    "normal_paths": f"""WITH f AS (SELECT unnest(['', './', 'x/../', 'x//', '../', '/', 'C:/', 'x/../../']) AS x, unnest([1, 1, 1, 2, 0, 0, 0, 0]) AS how)
+      SELECT DISTINCT x || p AS path, CASE how WHEN 1 THEN p WHEN 2 THEN 'x/' || p END AS normal FROM {_CLEAN_PATHS}, f""",
+    "version_order": """WITH v AS (SELECT DISTINCT p_size AS a, p_partkey % 10 AS b, p_partkey % 7 AS c, p_partkey % 2 = 0 AS v, p_partkey % 3 = 0 AS rc FROM part)
+      SELECT CASE WHEN v THEN 'v' ELSE '' END || a || '.' || b || '.' || c || CASE WHEN rc THEN '-rc.1' ELSE '' END AS version,
+      CAST(CASE WHEN (a, b, c) > (25, 5, 3) THEN 1 WHEN (a, b, c) < (25, 5, 3) OR rc THEN -1 ELSE 0 END AS INTEGER) AS "order" FROM v""",
+    "cdc_sizes": f"""WITH i AS (SELECT DISTINCT CAST(p_partkey * 37 % 9000 - 100 AS BIGINT) AS a, CAST(1 << (p_partkey % 15) AS BIGINT) AS b, CAST(p_partkey * 101 % 20000 - 500 AS BIGINT) AS c FROM part),
+      x AS (SELECT *, CASE WHEN {_LOW} >= {_HIGH} THEN 131072 ELSE {_LOW} END AS lo, CASE WHEN {_LOW} >= {_HIGH} THEN 524288 ELSE {_HIGH} END AS hi FROM i),
+      y AS (SELECT *, [p FOR p IN [1::BIGINT << k FOR k IN range(31)] IF lo < p AND p < hi] AS fits FROM x),
+      z AS (SELECT *, list_contains(fits, b) AS has, list_min([abs(p - (lo + hi) // 2) * 4294967296 + p FOR p IN fits]) % 4294967296 AS near FROM y)
+      SELECT a, b, c, CAST(CASE WHEN len(fits) = 0 THEN 131072 ELSE lo END AS BIGINT) AS low, CAST(CASE WHEN len(fits) = 0 THEN 262144 WHEN has THEN b ELSE near END AS BIGINT) AS mid,
+      CAST(CASE WHEN len(fits) = 0 THEN 524288 ELSE hi END AS BIGINT) AS high FROM z""",
+    "image_sizes": f"SELECT p_partkey, w AS width, h AS height, {_KIND.format('kind')} || ' ' || w || 'x' || h || ' ' || {_LENGTH} || ' B' AS preview FROM {_PARTS}",
+    "image_changes": f"""SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN '' WHEN 1 THEN 'image format changed: ' || lower({_KIND.format("kind")}) || ' -> ' || lower({_KIND.format("(kind + 1)")})
+      WHEN 2 THEN 'image dimensions changed: ' || w || 'x' || h || ' -> ' || (w + 1) || 'x' || h WHEN 3 THEN 'image file size changed: ' || ({_LENGTH} + 1) || ' B -> ' || ({_LENGTH} + 2) || ' B'
+      ELSE 'image content changed' END AS image, CASE p_partkey % 5 WHEN 0 THEN '' ELSE 'binary files differ' END AS "binary" FROM {_PARTS}""",
+    "video_sizes": f"""SELECT p_partkey, w AS width, h AS height, 'MP4 ' || w || 'x' || h || ' 132 B' AS preview,
+      CASE WHEN p_partkey % 2 = 0 THEN '' ELSE 'video file size changed: 132 B -> 1.1 KB' END AS diff FROM {_PARTS}""",
+    "mime_types": f"SELECT p AS path, CASE WHEN {_engine_by_name('p')} = 'text' THEN 'text/plain' ELSE 'application/octet-stream' END AS mime FROM {_CLEAN_PATHS}",
+    "equal_texts": """SELECT doc_id, true AS same, NOT contains(text, 'e') AS edited_same, '--- ' || doc_id || chr(10) || '+++ ' || doc_id || chr(10) || 'files differ (too large for detailed diff)' || chr(10) AS stub
+      FROM documents WHERE text IS NOT NULL""",
     "auto_save_stream": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
 }

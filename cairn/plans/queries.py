@@ -5,14 +5,18 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from cairn.commands import envelope
 from cairn.functions import display, engines, hashes, patterns, payload, text
 from cairn.functions.paths import nfc
 from cairn.operators import chunking, diff, gc, history, integrity, lineage, sync, textdiff
 from cairn.plans.fixtures import entries, files_a, files_b, paths, table
-from cairn.session import checkpoint_dir
+from cairn.session import checkpoint_dir, cut
+from cairn.sources.store import MAIN, Store
 from cairn.streaming import autosave
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,9 +69,9 @@ def trusted_files(spark: SparkSession, d: str) -> DataFrame:
     return kept.select("path", F.lit("kept").alias("action")).unionByName(again.select("path", F.lit("read").alias("action")))
 
 
-def _counts(spark: SparkSession, d: str, manifests: DataFrame) -> DataFrame:
+def _counts(spark: SparkSession, d: str, manifests: DataFrame, only: DataFrame | None = None) -> DataFrame:
     pairs = manifests.select(F.col("id").alias("snapshot"), F.col("parent").alias("previous"))
-    return diff.change_counts(diff.parent_changes(entries(spark, d), pairs), ["snapshot"])
+    return diff.change_counts(diff.parent_changes(entries(spark, d, only), pairs), ["snapshot"])
 
 
 @query
@@ -215,9 +219,10 @@ def log_all_paged(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def log_with_changes(spark: SparkSession, d: str) -> DataFrame:
-    """The newest 30 with their changes: the limit comes first, then one join for all rows."""
-    rows = _log(spark, d, False, 30)
-    counts = _counts(spark, d, rows.select("id", "parent")).withColumnRenamed("snapshot", "id")
+    """The newest 30 with their changes: the limit comes first, and only their lists and those of their parents are compared."""
+    rows = cut(_log(spark, d, False, 30))
+    only = rows.select(F.explode(F.array("id", "parent")).alias("snapshot")).distinct()
+    counts = _counts(spark, d, rows.select("id", "parent"), only).withColumnRenamed("snapshot", "id")
     n = [F.coalesce(c, F.lit(0)) for c in ("added", "modified", "deleted")]
     joined = rows.join(counts, "id", "left")
     return joined.select("id", display.minute_text(F.col("ts")).alias("time"), display.truncate(F.col("message"), 14).alias("message"), display.change_summary(*n).alias("changes"))
@@ -288,7 +293,7 @@ def _integrity(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 @query
 def integrity_report(spark: SparkSession, d: str) -> DataFrame:
     wrong = integrity.hash_mismatches(table(spark, d, "file_entries").select("entry_id", "chunks", "file_hash").distinct())
-    return integrity.report(_integrity(spark, d)[1], wrong)
+    return integrity.report(_integrity(spark, d)[1], wrong, _totals(spark, d))
 
 
 @query
@@ -329,7 +334,10 @@ def ref_push_classify(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def ref_pull_merge(spark: SparkSession, d: str) -> DataFrame:
-    return sync.merge_pull(table(spark, d, "refs"), table(spark, d, "remote_refs"), lineage.manifest(table(spark, d, "snapshots")))
+    """As if the first pull was done before: side references of a third of the names exist already, with their own targets."""
+    local = table(spark, d, "refs").select("ref_id", "repo_id", "name", "target")
+    held = local.where("ref_id % 3 = 0").select((-F.col("ref_id")).alias("ref_id"), "repo_id", F.concat("name", F.lit(".remote")).alias("name"), "target")
+    return sync.merge_pull(local.unionByName(held), table(spark, d, "remote_refs"), lineage.manifest(table(spark, d, "snapshots")), scope=["repo_id"])
 
 
 @query
@@ -340,9 +348,11 @@ def symref_resolve(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def json_envelope(spark: SparkSession, d: str) -> DataFrame:
-    data = F.struct("id", "ts", "message")
-    body = F.struct(F.lit("log").alias("command"), F.lit("ok").alias("status"), data.alias("data"), F.lit(None).cast("string").alias("hint"))
-    return lineage.manifest(table(spark, d, "snapshots")).select("id", F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
+    @F.pandas_udf(T.StringType())
+    def wrapped(id_: pd.Series, ts: pd.Series, message: pd.Series) -> pd.Series:
+        return pd.Series([envelope("log", {"id": i, "ts": int(t), "message": m}) for i, t, m in zip(id_, ts, message)])
+
+    return lineage.manifest(table(spark, d, "snapshots")).select("id", wrapped("id", "ts", "message").alias("json"))
 
 
 @query
@@ -370,27 +380,40 @@ def snapshot_totals(spark: SparkSession, d: str) -> DataFrame:
     return entries(spark, d).groupBy("snapshot").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("total_size"), F.count("*").alias("file_count"), F.max(F.octet_length("path")).cast("long").alias("path_width"))
 
 
+def _totals(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "snapshots").select(hashes.clean_hash(F.col("snapshot_id")).alias("snapshot"), "total_size", "file_count").where("snapshot is not null").distinct()
+    return integrity.wrong_totals(rows, entries(spark, d))
+
+
 @query
 def snapshot_check(spark: SparkSession, d: str) -> DataFrame:
     """Snapshots whose stated size or number of files is not that of their list."""
-    rows = table(spark, d, "snapshots").select(hashes.clean_hash(F.col("snapshot_id")).alias("snapshot"), "total_size", "file_count").where("snapshot is not null").distinct()
-    real = entries(spark, d).groupBy("snapshot").agg(F.coalesce(F.sum("size"), F.lit(0)).alias("real_size"), F.count("*").alias("real_count"))
-    both = rows.join(real, "snapshot", "left").fillna(0, ["real_size", "real_count"])
-    return both.where(~(F.col("total_size").eqNullSafe(F.col("real_size")) & F.col("file_count").eqNullSafe(F.col("real_count"))))
+    return _totals(spark, d)
 
 
 @query
 def payload_sizes(spark: SparkSession, d: str) -> DataFrame:
-    """Stored form of the texts as one chunk each, unpacked again: whether it is compressed, and whether it is whole."""
+    """Stored form of the texts as one chunk each, unpacked again: whether it is whole, and larger by the flag at most."""
     rows = table(spark, d, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("data"))
     packed = rows.withColumn("stored", payload.encode_payload("data"))
-    return packed.select("doc_id", (F.octet_length("stored") <= F.octet_length("data")).alias("compressed"), payload.decode_payload("stored").eqNullSafe(F.col("data")).alias("whole"))
+    return packed.select("doc_id", (F.octet_length("stored") <= F.octet_length("data") + 1).alias("small"), payload.decode_payload("stored").eqNullSafe(F.col("data")).alias("whole"))
+
+
+CDC = (256, 1024, 4096)
 
 
 @query
 def fastcdc_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Content-defined chunks put together again: digest and size of the content, whether all chunks but the last are within
+    the bounds, and whether every chunk has its digest."""
     files = table(spark, d, "documents").select("doc_id", F.encode("text", "utf-8").alias("content"))
-    return chunking.cdc_chunks(files, "doc_id", sizes=(256, 1024, 4096))
+    chunks = chunking.cdc_chunks(files, "doc_id", sizes=CDC).join(files, "doc_id")
+    data = F.substring(F.col("content"), (F.col("offset") + 1).cast("int"), F.col("size").cast("int"))
+    parts = chunks.select("doc_id", "idx", "offset", "size", data.alias("data"), (hashes.digest(data) == F.col("hash")).alias("sound"), F.octet_length("content").alias("all"))
+    last = F.col("offset") + F.col("size") == F.col("all")
+    bounded = (F.col("size") <= CDC[2]) & (last | (F.col("size") >= CDC[0]))
+    whole = F.unhex(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("idx", "data"))), lambda x: F.hex(x["data"])), ""))
+    return parts.groupBy("doc_id").agg(hashes.digest(whole).alias("content_hash"), F.sum("size").alias("size"), F.bool_and(bounded).alias("bounded"), F.bool_and("sound").alias("sound"))
 
 
 def _versions(spark: SparkSession, d: str) -> DataFrame:
@@ -401,14 +424,18 @@ def _versions(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def unified_diff(spark: SparkSession, d: str) -> DataFrame:
+    """The diff of each document and its edit, applied to the old text: digest of the lines it gives."""
     name = F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))
-    return _versions(spark, d).select("doc_id", textdiff.unified_diff(F.col("old_text"), F.col("new_text"), name, name).alias("diff"))
+    rows = _versions(spark, d).select("doc_id", "old_text", textdiff.unified_diff(F.col("old_text"), F.col("new_text"), name, name).alias("diff"))
+    return rows.select("doc_id", hashes.digest(F.encode(F.array_join(textdiff.patched("old_text", "diff"), "\n"), "utf-8")).alias("patched"))
 
 
 @query
 def diff_stat(spark: SparkSession, d: str) -> DataFrame:
+    """Lines inserted less lines deleted, and the length of the bar."""
     rows = textdiff.stat(_versions(spark, d)).select("doc_id", F.col("inserted").cast("int"), F.col("deleted").cast("int"))
-    return rows.withColumn("bar", display.stat_bar(F.col("inserted"), F.col("deleted")))
+    bar = F.length(display.stat_bar(F.col("inserted"), F.col("deleted")))
+    return rows.select("doc_id", (F.col("inserted") - F.col("deleted")).alias("net"), (bar == F.least(F.lit(10), F.col("inserted") + F.col("deleted"))).alias("bar_fits"))
 
 
 @query
@@ -419,3 +446,215 @@ def auto_save_stream(spark: SparkSession, d: str) -> DataFrame:
     place = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
     autosave.run_to_end(autosave.event_counts(events, late=None), f"{place}/state", f"{place}/out")
     return spark.read.parquet(f"{place}/out").select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n")
+
+
+def _place(spark: SparkSession, kind: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{kind}-{uuid.uuid4().hex}"
+
+
+def _scan(files: DataFrame) -> DataFrame:
+    return files.select("path", F.encode("text", "utf-8").alias("content"), "size", "mod_time", F.lit(0o644).alias("mode"))
+
+
+@query
+def store_files(spark: SparkSession, d: str) -> DataFrame:
+    """Two versions of the files saved to a store, and read back from its chunks."""
+    store = Store(spark, _place(spark, "store"))
+    store.init()
+    saved = [store.save(_scan(f(spark, d)), f"version {n}", "me", n) for n, f in enumerate((files_a, files_b))]
+    rows = [store.contents(s).select(F.lit(n).alias("version"), "path", hashes.digest(F.col("content")).alias("content_hash")) for n, s in enumerate(saved)]
+    return rows[0].unionByName(rows[1])
+
+
+@query
+def watch_stream(spark: SparkSession, d: str) -> DataFrame:
+    """A watch over a stream of three scans, the last like the one before: its counters, and the automatic snapshots."""
+    place = _place(spark, "watch")
+    store = Store(spark, f"{place}/store")
+    store.init()
+    for n, f in enumerate((files_a, files_b, files_b)):
+        _scan(f(spark, d)).withColumn("scanned_at", F.lit(n + 1).cast("long")).coalesce(1).write.mode("append").parquet(f"{place}/scans/n={n}")
+    folder = f"{place}/scans"
+    schema = spark.read.parquet(f"{folder}/n=0").schema
+    for n in range(3):
+        scans = spark.readStream.schema(schema).parquet(f"{folder}/n={n}")
+        autosave.watch(scans, store, autosave.state_file(f"{place}/state.json"), f"{place}/checkpoint{n}", once=True, first=n).awaitTermination()
+    state = autosave.WatchState.load(autosave.state_file(f"{place}/state.json"))
+    found = store.read("snapshots").agg(F.count("*").alias("snapshots"), F.count_if(F.col("message").startswith(gc.AUTO)).alias("autos"))
+    return found.select(F.lit(state.ticks).cast("long").alias("ticks"), F.lit(state.auto_saves).cast("long").alias("saves"), F.lit(state.errors).cast("long").alias("errors"), "snapshots", "autos")
+
+
+@query
+def ingest_files(spark: SparkSession, d: str) -> DataFrame:
+    """Entries that a save makes of the files, with the tier of their chunk sizes."""
+    files = _scan(files_a(spark, d))
+    made, chunks = Store(spark, "").prepare(files)
+    return made.join(chunks.select("hash", F.octet_length("data").cast("long").alias("stored")), F.element_at("chunks", 1) == F.col("hash")).select("path", "file_hash", "size", F.size("chunks").cast("long").alias("n_chunks"), "mime", "stored")
+
+
+@query
+def save_merge(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a save has anything to store: for an edited and for an unchanged workspace."""
+    rows = [diff.merge_saved(files_a(spark, d), f(spark, d))[1].select(F.lit(n).alias("workspace"), "changed") for n, f in (("edited", files_b), ("same", files_a))]
+    return rows[0].unionByName(rows[1])
+
+
+@query
+def links_left_out(spark: SparkSession, d: str) -> DataFrame:
+    """Status of a workspace in which some files are symbolic links: they count as absent."""
+    files = files_b(spark, d).withColumn("is_symlink", F.substring("file_hash", 4, 1) == "0")
+    return diff.status(files_a(spark, d), files).groupBy("status").agg(F.count("*").alias("files"))
+
+
+@query
+def path_history(spark: SparkSession, d: str) -> DataFrame:
+    """Of each path in each snapshot the hash it had in the snapshot before, by depth in its chain."""
+    deep = lineage.depths(lineage.manifest(table(spark, d, "snapshots"))).select(F.col("id").alias("snapshot"), F.col("root").alias("chain"), "depth")
+    rows = diff.path_history(entries(spark, d), deep)
+    return rows.groupBy("chain").agg(F.count("*").alias("entries"), F.count_if(F.col("previous_hash").isNull()).alias("first_seen"), F.count_if(F.col("previous_hash") != F.col("file_hash")).alias("changed"))
+
+
+@query
+def version_refs(spark: SparkSession, d: str) -> DataFrame:
+    """Snapshots that version references name, over all stores of the table."""
+    refs, manifests = table(spark, d, "refs"), lineage.manifest(table(spark, d, "snapshots"))
+    found = [history.resolve(patterns.parse_version_ref(x), manifests, refs).select(F.lit(x).alias("version"), "id") for x in ("HEAD", "main", f"branch:{MAIN.removeprefix('heads/')}", "tag:v1", "id:0a1b")]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
+    return out
+
+
+@query
+def ref_counts(spark: SparkSession, d: str) -> DataFrame:
+    return history.ref_counts(table(spark, d, "refs"))
+
+
+@query
+def next_pack(spark: SparkSession, d: str) -> DataFrame:
+    names = table(spark, d, "supplier").select(F.format_string("pack-%06d", F.col("s_suppkey") * 7).alias("pack"))
+    return gc.next_pack(names)
+
+
+@query
+def loose_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """What becomes of the stored chunks if all are loose."""
+    return gc.loose_plan(gc.stored_chunks(table(spark, d, "chunks")), _gc(spark, d)[2])
+
+
+@query
+def durations(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "check_runs").where("total_blocks is not null").select((F.col("total_blocks") * 360).alias("seconds")).distinct()
+    return rows.select("seconds", display.duration_text(F.col("seconds")).alias("shown"))
+
+
+@query
+def dimension_texts(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "part").select((F.col("p_size") % 3).cast("long").alias("width"), (F.col("p_partkey") % 4).cast("long").alias("height")).distinct()
+    return rows.select("width", "height", display.dimensions_text(F.col("width"), F.col("height")).alias("shown"))
+
+
+def _plain(f: Callable[[str], object], kind: T.DataType) -> Callable[[Column], Column]:
+    """A driver function as a column; null for an error."""
+
+    def one(x: str) -> object:
+        try:
+            return f(x)
+        except ValueError:
+            return None
+
+    return F.pandas_udf(lambda s: pd.Series([one(x) for x in s], dtype=object), kind)
+
+
+@query
+def archive_names(spark: SparkSession, d: str) -> DataFrame:
+    raw = table(spark, d, "file_entries").where("path is not null").select("path").distinct()
+    forms = F.array("path", *(F.concat(F.lit(x), "path") for x in ("/", "C:", "../", "../../", "a/../", "//C:/")))
+    return raw.select(F.explode(forms).alias("path")).distinct().select("path", _plain(patterns.sanitised_entry, T.StringType())("path").alias("entry"))
+
+
+@query
+def normal_paths(spark: SparkSession, d: str) -> DataFrame:
+    forms = F.array(*(F.concat(F.lit(x), "path") for x in ("", "./", "x/../", "x//", "../", "/", "C:/", "x/../../")))
+    return paths(spark, d).select(F.explode(forms).alias("path")).distinct().select("path", _plain(patterns.normal_path, T.StringType())("path").alias("normal"))
+
+
+@query
+def version_order(spark: SparkSession, d: str) -> DataFrame:
+    """Semantic versions held against 25.5.3."""
+    name = F.concat_ws(".", "p_size", F.col("p_partkey") % 10, F.col("p_partkey") % 7)
+    rows = table(spark, d, "part").select(F.concat(F.when(F.col("p_partkey") % 2 == 0, "v").otherwise(""), name, F.when(F.col("p_partkey") % 3 == 0, "-rc.1").otherwise("")).alias("version")).distinct()
+    return rows.select("version", _plain(lambda v: display.compare_versions(v, "25.5.3"), T.IntegerType())("version").alias("order"))
+
+
+@query
+def cdc_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Chunk sizes that a content-defined chunker takes for wished ones."""
+
+    @F.pandas_udf("low long, mid long, high long")
+    def clamp(low: pd.Series, mid: pd.Series, high: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([chunking.clamp_cdc(int(a), int(b), int(c)) for a, b, c in zip(low, mid, high)], columns=["low", "mid", "high"])
+
+    key = F.col("p_partkey").cast("long")
+    rows = table(spark, d, "part").select((key * 37 % 9000 - 100).alias("a"), F.pow(F.lit(2), key % 15).cast("long").alias("b"), (key * 101 % 20000 - 500).alias("c")).distinct()
+    return rows.withColumn("s", clamp("a", "b", "c")).select("a", "b", "c", "s.low", "s.mid", "s.high")
+
+
+def _hex(n: Column, digits: int, little: bool = False) -> Column:
+    text_ = F.lpad(F.hex(n.cast("long")), digits, "0")
+    return text_ if not little else F.concat(*(F.substring(text_, i, 2) for i in range(digits - 1, 0, -2)))
+
+
+def _image(kind: Column, width: Column, height: Column, tail: Column) -> Column:
+    """Headers of images: PNG, GIF and BMP."""
+    png = F.concat(F.lit("89504E470D0A1A0A0000000D49484452"), _hex(width, 8), _hex(height, 8), F.lit("0806000000"))
+    gif = F.concat(F.lit("474946383961"), _hex(width, 4, True), _hex(height, 4, True), F.lit("000000"))
+    bmp = F.concat(F.lit("424D" + "00" * 8 + "3600000028000000"), _hex(width, 8, True), _hex(height, 8, True), F.lit("01001800" + "00" * 24))
+    return F.unhex(F.concat(F.when(kind == 0, png).when(kind == 1, gif).otherwise(bmp), tail))
+
+
+def _parts(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 3).alias("kind"), (F.col("p_size") * 13).cast("long").alias("w"), (F.col("p_partkey") % 500 + 1).cast("long").alias("h"))
+
+
+@query
+def image_sizes(spark: SparkSession, d: str) -> DataFrame:
+    rows = _parts(spark, d).withColumn("content", _image(F.col("kind"), F.col("w"), F.col("h"), F.lit("")))
+    size = engines.image_dimensions("content")
+    return rows.select("p_partkey", size["width"].alias("width"), size["height"].alias("height"), engines.image_preview(F.col("content")).alias("preview"))
+
+
+@query
+def image_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Images against ones of another format, size, length or content."""
+    k, how = F.col("kind"), F.col("p_partkey") % 5
+    rows = _parts(spark, d).withColumn("old", _image(k, F.col("w"), F.col("h"), F.lit("00")))
+    new = F.when(how == 0, F.col("old")).when(how == 1, _image((k + 1) % 3, F.col("w"), F.col("h"), F.lit("00"))).when(how == 2, _image(k, F.col("w") + 1, F.col("h"), F.lit("00")))
+    new = new.when(how == 3, _image(k, F.col("w"), F.col("h"), F.lit("0000"))).otherwise(_image(k, F.col("w"), F.col("h"), F.lit("01")))
+    rows = rows.withColumn("new", new)
+    return rows.select("p_partkey", engines.image_diff(F.col("old"), F.col("new")).alias("image"), engines.binary_diff(F.col("old"), F.col("new")).alias("binary"))
+
+
+@query
+def video_sizes(spark: SparkSession, d: str) -> DataFrame:
+    """Dimensions from the boxes of MP4 headers, previews, and the comparison with a longer file."""
+    head = F.lit("00000018667479706D703432000000006D70343269736F6D" + "0000006C6D6F6F76" + "000000647472616B" + "0000005C746B6864" + "00" * 76)
+    content = F.unhex(F.concat(head, _hex(F.col("w"), 4), F.lit("0000"), _hex(F.col("h"), 4), F.lit("0000")))
+    rows = _parts(spark, d).withColumn("content", content)
+    size = engines.video_dimensions("content")
+    length = F.octet_length("content").cast("long")
+    return rows.select("p_partkey", size["width"].alias("width"), size["height"].alias("height"), engines.video_preview(F.col("content"), length).alias("preview"), engines.video_diff(length, length + F.col("p_partkey") % 2 * 1024).alias("diff"))
+
+
+@query
+def mime_types(spark: SparkSession, d: str) -> DataFrame:
+    return paths(spark, d).select("path", engines.mime_of(engines.detect_engine(F.col("path"), F.lit(None).cast("binary"))).alias("mime"))
+
+
+@query
+def equal_texts(spark: SparkSession, d: str) -> DataFrame:
+    """Whether a text and its copy with other line ends have the same lines, and the stub of a diff that is not made."""
+    rows = table(spark, d, "documents").where("text is not null").select("doc_id", "text", F.replace("text", F.lit("e"), F.lit("o")).alias("other"))
+    name = F.col("doc_id").cast("string")
+    ends = F.replace("text", F.lit("\n"), F.lit("\r\n"))
+    return rows.select("doc_id", text.equal_lines(F.col("text"), F.when(F.col("text").contains("\r"), F.col("text")).otherwise(ends)).alias("same"), text.equal_lines(F.col("text"), F.col("other")).alias("edited_same"), text.differ_stub(name, name).alias("stub"))

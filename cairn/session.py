@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
@@ -16,6 +17,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",  # files of a checkpoint go with its last DataFrame
 }
 
 
@@ -51,9 +53,11 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's own if it names one, else a local one for tests."""
+    """The shared folder for checkpoints: the cluster's own if it names one, else, in local mode only, a temporary one."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
+        if named is None and not re.match(r"local(\[[^-]|\Z)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
     return named or spark.sparkContext.getCheckpointDir()
 

@@ -1,23 +1,27 @@
 """A version store on Parquet: tables in directories, and a log of commits that names the directories of each version.
 
-Data files are written first; a commit is one small file, created once and never overwritten, so it either exists whole
-or not at all and two writers can't take the same number. Readers take the last commit. Chunk data is only appended;
-references are a small table written anew by each commit, so they move last, with the commit itself.
+Data files are written first; a commit is one small file, written aside and moved to its number, which fails if that is
+taken: it either exists whole or not at all, and two writers can't take the same number. Readers take the last commit.
+Chunk data is only appended; each append is a pack, which garbage collection rewrites if it has dead chunks. References
+are a small table written anew by each commit, so they move last, with the commit itself.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cairn.functions import hashes, patterns
-from cairn.functions.engines import detect_engine, mime_of
+from cairn.functions.engines import CHUNK_SIZES, chunk_strategy, detect_engine, mime_of
 from cairn.operators import chunking, diff, gc, lineage, sync
+from cairn.session import cut
 
 _ENTRY = "path string, mode bigint, size bigint, mod_time bigint, file_hash string, chunks array<string>, mime string, extra map<string,string>"
 SCHEMAS = {
@@ -28,8 +32,8 @@ SCHEMAS = {
     "index_entries": "path string, file_hash string, size bigint, mod_time bigint, chunks array<string>",
 }
 MAIN = "heads/main"
-#: Content-defined sizes by type of file; what is not here is one chunk.
-SIZES = {"binary": (128 << 10, 256 << 10, 512 << 10), "image": (128 << 10, 256 << 10, 512 << 10), "video": (512 << 10, 1 << 20, 4 << 20), "text": (4 << 10, 8 << 10, 16 << 10)}
+#: Content-defined sizes by the name of their tier, as `tier` gives it; what is not here is one chunk.
+SIZES = {"-".join(map(str, sizes)): sizes for sizes in CHUNK_SIZES}
 
 
 class StoreError(Exception):
@@ -46,6 +50,8 @@ class Store:
 
     spark: SparkSession
     root: str
+    compress: bool = True
+    level: int = 3
 
     # --- the log ---------------------------------------------------------------------------------------------------
 
@@ -76,26 +82,61 @@ class Store:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*(f"{self.root}/{p}" for p in places))
 
-    def commit(self, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None) -> int:
-        """Write tables and then the commit that makes them visible; returns its number. StoreError if another writer
-        took the number: the data written is then unreferenced."""
-        version = self.version()
-        state = {k: list(v) for k, v in self._state(version).items()}
-        for tables, keep in ((append or {}, True), (replace or {}, False)):
+    def commit(self, append: dict[str, DataFrame] | None = None, replace: dict[str, DataFrame] | None = None, keep: dict[str, list[str]] | None = None) -> int:
+        """Write tables and then the commit that makes them visible; returns its number. keep: directories of a replaced
+        table that stay beside what is written. StoreError if another writer took the number: the data written is then
+        unreferenced."""
+        version, kept = self.version(), keep or {}
+        state = {k: list(kept.get(k, v)) for k, v in self._state(version).items()}
+        for tables, appended in ((append or {}, True), (replace or {}, False)):
             for name, df in tables.items():
                 place = f"tables/{name}/{uuid.uuid4().hex}"
                 kinds = T._parse_datatype_string(SCHEMAS[name])
-                df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds.fields)).write.parquet(f"{self.root}/{place}")
-                state[name] = [*(state.get(name, []) if keep else []), place]
-        target = self._path("commits", f"{version + 1:012d}.json")
-        try:
-            out = self._fs().create(target, False)
-        except Exception as e:
-            raise StoreError(f"another writer committed {version + 1}") from e
+                written = df.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in kinds.fields)).write
+                written = written.option("compression", "zstd" if self.compress else "none").option("parquet.compression.codec.zstd.level", self.level)
+                written.parquet(f"{self.root}/{place}")
+                state[name] = [*(state.get(name, []) if appended or name in kept else []), place]
+        aside, target = self._path("commits", f".{uuid.uuid4().hex}"), self._path("commits", f"{version + 1:012d}.json")
+        fs = self._fs()
+        out = fs.create(aside, False)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
+        try:
+            taken = not self._move(aside, target)
+        finally:
+            fs.delete(aside, False)
+        if taken:
+            raise StoreError(f"another writer committed {version + 1}")
         return version + 1
 
+    def _move(self, aside, target) -> bool:  # noqa: ANN001
+        """Move a file to a name that must be free; false if it is not. A local file system would overwrite, so there the
+        name is made by a link."""
+        uri = self._fs().makeQualified(target).toUri()
+        if uri.getScheme() == "file":
+            try:
+                os.link(self._fs().makeQualified(aside).toUri().getPath(), uri.getPath())
+            except FileExistsError:
+                return False
+            return True
+        return not self._fs().exists(target) and self._fs().rename(aside, target)
+
+    def vacuum(self) -> int:
+        """Delete what no table of the last commit names: replaced directories, those of writers that failed, and older
+        commits, whose tables are gone then. Returns the bytes freed on disk."""
+        fs, state, freed, version = self._fs(), self._state(), 0, self.version()
+        named = {p for places in state.values() for p in places}
+        for name in SCHEMAS:
+            folder = self._path("tables", name)
+            for found in fs.listStatus(folder) if fs.exists(folder) else []:
+                if f"tables/{name}/{found.getPath().getName()}" not in named:
+                    freed += fs.getContentSummary(found.getPath()).getLength()
+                    fs.delete(found.getPath(), True)
+        for found in fs.listStatus(self._path("commits")):
+            if found.getPath().getName() != f"{version:012d}.json":
+                fs.delete(found.getPath(), False)
+        return freed
+
     # --- references ------------------------------------------------------------------------------------------------
 
     def init(self) -> None:
@@ -214,10 +255,11 @@ class Store:
     def prepare(self, workspace: DataFrame, sizes: dict[str, tuple[int, int, int]] | None = None) -> tuple[DataFrame, DataFrame]:
         """Entries and chunks (hash, size, data) of workspace files (path, content, mod_time). One pass chunks the files
         and hashes the chunks; lists of chunk hashes are put together per file."""
+        # the type is told once a file, by a narrow table: its expression is long
         engine = detect_engine(F.col("path"), F.substring("content", 1, 512))
-        small = (engine == "text") & (F.octet_length("content") < 64 << 10)
-        typed = F.when(small, "whole").otherwise(engine)
-        pieces = chunking.ingest(workspace.select("path", "content"), "path", sizes or SIZES, typed)
+        typed = workspace.select("path", "content", engine.alias("_engine"))
+        kind = F.col("_engine") if sizes else tier(F.col("_engine"), F.octet_length("content"))
+        pieces = chunking.ingest(typed, "path", sizes or SIZES, kind)
         whole = chunking.with_file_hash(pieces, ["path"])
         rest = workspace.select("path", "mod_time", engine.alias("_engine"), *(["mode"] if "mode" in workspace.columns else []))
         mode = F.col("mode") if "mode" in workspace.columns else F.lit(0o644)
@@ -233,27 +275,24 @@ class Store:
         """Store a workspace as a new snapshot on the current branch; NothingToSave if no file differs from the index."""
         branch, previous = self.head()
         entries, chunks = self.prepare(workspace)
-        entries = entries.persist()
-        try:
-            _, changed = diff.merge_saved(self.read("index_entries"), entries)
-            if not changed.first()[0]:
-                raise NothingToSave
-            stats = entries.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0)), content_id(entries)).first()
-            meta = json.dumps([previous, message, author, ts, tags or [], stats[2]])
-            snapshot = self.spark.range(1).select(hashes.digest(F.lit(meta))).first()[0]
-            row = self._frame("snapshots", [(snapshot, previous, message, author, ts, tags or [], stats[1], stats[0])])
-            listed = entries.select(F.lit(snapshot).alias("snapshot_id"), "*")
-            refs = self.refs()
-            name = branch or "HEAD"
-            refs[name] = (refs[name][0], snapshot, None)
-            self._write_refs(
-                refs,
-                append={"chunks": chunking.new_chunks(chunks, self.read("chunks")), "file_entries": listed, "snapshots": row},
-                replace={"index_entries": entries.select("path", "file_hash", "size", "mod_time", "chunks")},
-            )
-            return snapshot
-        finally:
-            entries.unpersist()
+        entries = cut(entries)  # files are read and chunked once; the lists outlive an executor
+        _, changed = diff.merge_saved(self.read("index_entries"), entries)
+        if not changed.first()[0]:
+            raise NothingToSave
+        stats = entries.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+        row = self._frame("snapshots", [("", previous, message, author, ts, tags or [], stats[1], stats[0])])
+        row = snapshot_ids(row, entries.withColumn("snapshot_id", F.lit(""))).withColumn("snapshot_id", F.col("real_id")).drop("real_id")
+        snapshot = row.first().snapshot_id
+        listed = entries.select(F.lit(snapshot).alias("snapshot_id"), "*")
+        refs = self.refs()
+        name = branch or "HEAD"
+        refs[name] = (refs[name][0], snapshot, None)
+        self._write_refs(
+            refs,
+            append={"chunks": chunking.new_chunks(chunks, self.read("chunks")), "file_entries": listed, "snapshots": row},
+            replace={"index_entries": entries.select("path", "file_hash", "size", "mod_time", "chunks")},
+        )
+        return snapshot
 
     def undo(self, workspace: DataFrame | None = None) -> str:
         """Move the current branch back by one; refused at the first snapshot and for a changed workspace."""
@@ -293,21 +332,55 @@ class Store:
         live = gc.live_chunks(held, self.read("file_entries"), self.read("index_entries"))
         stored = self.read("chunks").withColumn("deleted_at", F.lit(None).cast("timestamp"))
         found = gc.report(lost, kept, gc.dead_chunks(stored, live)).first().asDict()
+        found["bytes_on_disk"] = 0
         if not dry_run and (found["snapshots_removed"] or found["chunks_removed"]):
             ids = held.withColumnRenamed("id", "snapshot_id")
-            self.commit(
-                replace={
-                    "chunks": self.read("chunks").join(live, "hash", "left_semi").repartitionByRange("hash").sortWithinPartitions("hash"),
-                    "snapshots": self.read("snapshots").join(ids, "snapshot_id", "left_semi"),
-                    "file_entries": self.read("file_entries").join(ids, "snapshot_id", "left_semi"),
-                }
-            )
+            replace = {name: self.read(name).join(ids, "snapshot_id", "left_semi") for name in ("snapshots", "file_entries")} if found["snapshots_removed"] else {}
+            self._repack(live, {"drop", "rewrite", "keep"}, replace)
+            found["bytes_on_disk"] = self.vacuum()
         return found
 
-    def compact(self) -> int:
-        """Write the chunks of many small appends as one sorted table."""
-        chunks = self.read("chunks").dropDuplicates(["hash"]).repartitionByRange("hash").sortWithinPartitions("hash")
-        return self.commit(replace={"chunks": chunks})
+    def packs(self) -> DataFrame:
+        """(pack, hash, length) of all stored chunks: a pack is what one append wrote, named by its directory."""
+        frames = [self._pack(p).select(F.lit(p).alias("pack"), "hash", F.col("size").alias("length")) for p in self._state().get("chunks", [])]
+        return reduce(DataFrame.unionByName, frames) if frames else self.spark.createDataFrame([], "pack string, hash string, length bigint")
+
+    def _pack(self, place: str) -> DataFrame:
+        return self.spark.read.schema(SCHEMAS["chunks"]).parquet(f"{self.root}/{place}")
+
+    def _repack(self, live: DataFrame, actions: set[str], replace: dict[str, DataFrame]) -> dict[str, int]:
+        """Write the live chunks of the packs whose plan is one of actions, if they have dead ones, as one new pack; the others stay
+        as they are. Returns the number of packs by action."""
+        plan = [r for r in gc.pack_plan(self.packs(), live).collect()]  # one row a pack
+        old = {r.pack for r in plan if r.dead and r.action in actions}
+        rewritten = [self._pack(p) for p in sorted(old) if p not in {r.pack for r in plan if r.action == "drop"}]
+        kept = [p for p in self._state().get("chunks", []) if p not in old]
+        tables = dict(replace)
+        if rewritten:
+            tables["chunks"] = sorted_chunks(reduce(DataFrame.unionByName, rewritten).join(live, "hash", "left_semi"))
+        if tables or old:
+            self.commit(replace=tables, keep={"chunks": kept} if old else None)
+        return {a: sum(r.action == a for r in plan if r.pack in old) for a in ("drop", "rewrite")}
+
+    def compact(self, dead_ratio: float = gc.DEAD_RATIO) -> dict[str, int]:
+        """Drop packs without live chunks, rewrite those of which dead_ratio or more are dead, and write the many small
+        packs (of fewer than LOOSE_LIMIT chunks) as one, if together they have more than that."""
+        live = gc.live_chunks(self.read("snapshots").select(F.col("snapshot_id").alias("id")), self.read("file_entries"), self.read("index_entries"))
+        counts = self._repack(live, {"drop", "rewrite"}, {})
+        sizes = {r.pack: r.n for r in self.packs().groupBy("pack").agg(F.count("*").alias("n")).collect()}
+        small = [p for p, n in sizes.items() if n < gc.LOOSE_LIMIT]
+        packed = 0
+        if len(small) > 1:
+            loose = reduce(DataFrame.unionByName, map(self._pack, small))
+            packed = gc.loose_plan(loose, live).first().loose_packed
+            if packed:
+                kept = [p for p in self._state()["chunks"] if p not in small]
+                self.commit(replace={"chunks": sorted_chunks(loose.dropDuplicates(["hash"]))}, keep={"chunks": kept})
+        return {"dropped": counts["drop"], "rewritten": counts["rewrite"], "loose_packed": packed, "bytes_on_disk": self.vacuum(), "version": self.version()}
+
+    def corrupt_snapshots(self) -> DataFrame:
+        """(snapshot_id) of snapshots whose id is not the digest of what they hold."""
+        return snapshot_ids(self.read("snapshots"), self.read("file_entries")).where("snapshot_id != real_id").select("snapshot_id")
 
     def _scope(self, branch: str | None) -> tuple[DataFrame, DataFrame]:
         refs = self.read("refs").where("name != 'HEAD'")
@@ -323,6 +396,8 @@ class Store:
         manifests = self.read("snapshots").select(F.col("snapshot_id").alias("id"), F.col("prev_id").alias("parent"))
         moves = sync.classify_push(refs, remote.read("refs"), manifests, key="name")
         actions = {r.name: r.action for r in moves.select("name", "action").collect()}
+        if "broken" in actions.values():
+            raise StoreError("the history ends at a missing snapshot: " + ", ".join(sorted(n for n, a in actions.items() if a == "broken")))
         if "diverge" in actions.values():
             raise StoreError("diverged: " + ", ".join(sorted(n for n, a in actions.items() if a == "diverge")))
         return self._copy(remote, refs, ids, {n: n for n, a in actions.items() if a in ("create", "update")}, dry_run)
@@ -348,6 +423,10 @@ class Store:
         counts = {"chunks": chunks.count(), "snapshots": new.count(), "refs": len(names)}
         if used.join(self.read("chunks"), "hash", "left_anti").join(to.read("chunks"), "hash", "left_anti").count():
             raise StoreError("a chunk of the scope is in neither store")
+        if not dry_run and counts["chunks"] > chunking.sound(chunks).count():
+            raise StoreError("the data of a chunk has another digest than its hash")
+        if not dry_run and not snapshot_ids(new, entries).where("snapshot_id != real_id").isEmpty():
+            raise StoreError("a snapshot does not hold what its id says")
         if not dry_run and any(counts.values()):
             targets = {r.name: (r.type, r.target, r.symref) for r in refs.collect()}
             moved = to.refs() | {new_name: targets[name] for name, new_name in names.items()}
@@ -356,10 +435,25 @@ class Store:
         return counts
 
 
-def content_id(entries: DataFrame) -> Column:
-    """Aggregate that identifies a file list whatever its order: the sum of 64-bit hashes of its canonical rows and their
-    number. No list is gathered in one place."""
-    extra = F.to_json(F.array_sort(F.map_entries("extra")))
-    row = F.to_json(F.struct("path", "mode", "size", "mod_time", "file_hash", "mime", extra.alias("extra")), {"ignoreNullFields": "false"})
-    total = F.sum(F.xxhash64(row).cast("decimal(38,0)"))
-    return F.concat_ws(":", F.count("*").cast("string"), F.coalesce(total, F.lit(0).cast("decimal(38,0)")).cast("string"))
+def tier(engine: Column, size: Column) -> Column:
+    """Name of the chunk sizes that a file of a type and size gets; `whole` for one chunk."""
+    sizes = F.to_csv(chunk_strategy(engine, size), {"sep": "-"})
+    return F.when(sizes == "--", "whole").otherwise(sizes)
+
+
+def sorted_chunks(chunks: DataFrame) -> DataFrame:
+    return chunks.repartitionByRange("hash").sortWithinPartitions("hash")
+
+
+def snapshot_ids(snapshots: DataFrame, entries: DataFrame) -> DataFrame:
+    """snapshots with `real_id`: the digest of their parent, message, author, time, tags and files (snapshot_id, path, ...).
+
+    The files go in as the digest of 4096 digests, each of the sorted digests of the rows in a bucket by their own digest,
+    so their order is none and no list is gathered in one place."""
+    extra, chunks = F.to_json(F.array_sort(F.map_entries("extra"))), F.array_join("chunks", ",", "-")
+    row = F.to_json(F.struct("path", "mode", "size", "mod_time", "file_hash", chunks.alias("chunks"), "mime", extra.alias("extra")), {"ignoreNullFields": "false"})
+    rows = entries.select("snapshot_id", hashes.digest(row).alias("row"))
+    buckets = rows.groupBy("snapshot_id", F.substring("row", 1, 3).alias("bucket")).agg(hashes.digest(F.array_join(F.sort_array(F.collect_list("row")), "")).alias("part"))
+    lists = buckets.groupBy("snapshot_id").agg(hashes.digest(F.array_join(F.sort_array(F.collect_list("part")), "")).alias("_files"))
+    meta = F.to_json(F.struct("prev_id", "message", "author", "ts", "tags", F.coalesce("_files", F.lit("")).alias("files")), {"ignoreNullFields": "false"})
+    return snapshots.join(lists, "snapshot_id", "left").withColumn("real_id", hashes.digest(meta)).drop("_files")

@@ -81,14 +81,19 @@ def prune(store: Store, keep: int) -> int:
     return count
 
 
-def watch(scans: DataFrame, store: Store, state_path: str, checkpoint: str, interval: int = 300, keep: int = 50, once: bool = False) -> StreamingQuery:
+def state_file(uri: str) -> str:
+    """Local path of a state file given by a path or a file URI."""
+    return uri.removeprefix("file://") if uri.startswith("file://") else uri.removeprefix("file:")
+
+
+def watch(scans: DataFrame, store: Store, state_path: str, checkpoint: str, interval: int = 300, keep: int = 50, once: bool = False, first: int = 0) -> StreamingQuery:
     """Run tick for each micro-batch of a streaming DataFrame of scans (path, content, size, mod_time, scanned_at in epoch
-    seconds): each batch is one whole scan. `once` takes what is there and ends."""
+    seconds): each batch is one whole scan, numbered from `first`. `once` takes what is there and ends."""
 
     def run(batch: DataFrame, number: int) -> None:
         at = batch.agg(F.max("scanned_at")).first()[0]
         if at is not None:
-            tick(store, batch.drop("scanned_at"), number, int(at), state_path, keep)
+            tick(store, batch.drop("scanned_at"), first + number, int(at), state_path, keep)
 
     writer = scans.writeStream.foreachBatch(run).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=f"{interval} seconds")).start()

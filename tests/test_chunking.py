@@ -97,8 +97,8 @@ def test_integrity(spark, rows):
     files_ = spark.createDataFrame([(1, [h("a")], whole), (2, [h("a")], h("no")), (3, [None], h("no")), (4, [h("a")], None), (5, None, h("no"))], "entry_id bigint, chunks array<string>, file_hash string")
     wrong = integrity.hash_mismatches(files_)
     assert [r.entry_id for r in wrong.collect()] == [2]
-    assert integrity.report(states, wrong).first()[:] == (5, 1, 2, 1)
-    assert integrity.report(states.limit(0), wrong.limit(0)).first()[:] == (0, 0, 0, 0)
+    assert integrity.report(states, wrong, wrong).first()[:] == (5, 1, 2, 1, 1)
+    assert integrity.report(states.limit(0), wrong.limit(0), wrong.limit(0)).first()[:] == (0, 0, 0, 0, 0)
     assert rows(integrity.verbose(refs, states).where("state = 'MISSING'").select("entry_id", "idx")) == [(2, 2)]
 
 

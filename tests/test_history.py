@@ -150,3 +150,19 @@ def test_hash_and_chunk_keys_agree(spark):
     b = spark.createDataFrame([("a", h("1"), 1, ["1"]), ("b", h("3"), 1, ["3"])], f)
     by = [diff.file_diff(a, b, c, values=["file_hash", "size", "chunks"]).select("path", "status") for c in (diff.by_hash(), diff.by_chunks())]
     assert sorted(by[0].collect()) == sorted(by[1].collect())
+
+
+def test_side_references_and_broken_chains(spark):
+    """A side reference that holds another target is not overwritten; a chain that ends at a missing snapshot says nothing."""
+    ids = {k: h(k) for k in "abcdx"}
+    manifests = spark.createDataFrame([(ids["a"], None), (ids["b"], ids["a"]), (ids["c"], ids["a"]), (ids["d"], ids["x"])], "id string, parent string")
+    refs = "name string, type string, target string"
+    local = spark.createDataFrame([("heads/m", "branch", ids["b"]), ("heads/m.remote", "branch", ids["a"]), ("heads/k", "branch", ids["b"]), ("heads/k.remote", "branch", ids["c"]), ("heads/l", "branch", ids["b"])], refs)
+    remote = spark.createDataFrame([(n, "branch", ids["c"]) for n in ("heads/m", "heads/k", "heads/l")], refs)
+    got = {r.name: r.new_name for r in sync.merge_pull(local, remote, manifests, key="name").collect()}
+    assert got == {"heads/m": f"heads/m.remote.{ids['c'][:8]}", "heads/k": "heads/k.remote", "heads/l": "heads/l.remote"}
+    pairs = spark.createDataFrame([(ids["d"], ids["a"]), (ids["d"], ids["d"]), (ids["b"], ids["c"]), (ids["b"], ids["a"]), (ids["x"], ids["a"])], "descendant string, ancestor string")
+    found = {(r.descendant, r.ancestor): r.is_ancestor for r in lineage.ancestry(manifests, pairs).collect()}
+    assert [found[ids[x], ids[y]] for x, y in ("da", "dd", "bc", "ba", "xa")] == [None, True, False, True, None]
+    pushed = sync.classify_push(spark.createDataFrame([("heads/m", "branch", ids["d"])], refs), spark.createDataFrame([("heads/m", "branch", ids["a"])], refs), manifests, key="name")
+    assert pushed.first().action == "broken"

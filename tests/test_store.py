@@ -86,7 +86,8 @@ def test_life_of_a_store(spark, place):
     assert s.collect_garbage()["snapshots_removed"] == 0
     s.delete_tag("v2")
     s.delete_branch("next")
-    assert s.collect_garbage(dry_run=True) == s.collect_garbage() == {"snapshots_removed": 1, "autos_kept": 0, "chunks_removed": 1, "bytes_freed": 11}
+    counts = {"snapshots_removed": 1, "autos_kept": 0, "chunks_removed": 1, "bytes_freed": 11}
+    assert s.collect_garbage(dry_run=True) == counts | {"bytes_on_disk": 0} and s.collect_garbage().items() >= counts.items()
     assert s.collect_garbage()["chunks_removed"] == 0
     s.compact()
     assert s.pull(remote)["snapshots"] == 1 and s.head()[1] == second and files(s.contents(second))["hello.txt"] == b"Hello again"
@@ -100,6 +101,63 @@ def test_life_of_a_store(spark, place):
         s.push(other)
     s.pull(other)
     assert s.refs()["heads/main"][1] == mine and s.refs()["heads/main.remote"][1] == theirs
+    (place / "ws" / "hello.txt").write_text("theirs again")
+    again = other.save(regular(spark, place), "theirs again", "you", 105)
+    s.pull(other)
+    assert s.refs()["heads/main.remote"][1] == theirs and s.refs()[f"heads/main.remote.{again[:8]}"][1] == again
+    assert s.corrupt_snapshots().collect() == []
+
+
+def disk(path):
+    return sum(p.stat().st_size for p in path.rglob("*") if p.is_file())
+
+
+def test_garbage_leaves_the_disk(spark, place):
+    """What is collected is deleted: bytes on disk fall by at least the bytes freed."""
+    s = Store(spark, str(place / "store"))
+    s.init()
+    (place / "ws" / "big").write_bytes(os.urandom(300_000))
+    s.save(regular(spark, place), "with", "me", 1)
+    (place / "ws" / "big").unlink()
+    kept = s.save(regular(spark, place), "without", "me", 2)
+    refs = s.refs()
+    refs["heads/main"] = ("branch", kept, None)
+    snapshots = s.read("snapshots").where(f"snapshot_id = '{kept}'").selectExpr("snapshot_id", "cast(null as string) prev_id", "message", "author", "ts", "tags", "total_size", "file_count")
+    s.commit(replace={"snapshots": snapshots})
+    before = disk(place / "store")
+    found = s.collect_garbage()
+    assert found["bytes_freed"] == 300_000 and found["bytes_on_disk"] >= 300_000 and disk(place / "store") <= before - 300_000
+    assert files(s.contents(kept))["hello.txt"] == b"Hello World"
+
+
+def damaged(store):
+    """The store with one byte of a chunk turned."""
+    chunks = store.read("chunks").selectExpr("hash", "size", "case when size = 11 then cast('Hello Worlt' as binary) else data end as data")
+    store.commit(replace={"chunks": chunks})
+
+
+def test_corrupt_data_is_not_handed_out(spark, place, tmp_path):
+    s, other = Store(spark, str(place / "store")), Store(spark, str(place / "other"))
+    s.init()
+    other.init()
+    first = s.save(regular(spark, place), "first", "me", 1)
+    damaged(s)
+    assert files(s.contents(first))["hello.txt"] is None and files(s.contents(first))["empty"] == b""
+    errors = {r.path: r.error for r in workspace.restore(s.contents(first), str(tmp_path / "out")).collect()}
+    assert "missing" in errors["hello.txt"] and errors["empty"] is None
+    with pytest.raises(StoreError):
+        other.pull(s)
+    assert other.read("chunks").isEmpty() and other.read("snapshots").isEmpty()
+
+
+def test_a_snapshot_is_what_its_id_says(spark, place):
+    s = Store(spark, str(place / "store"))
+    s.init()
+    first = s.save(regular(spark, place), "first", "me", 1)
+    assert s.corrupt_snapshots().collect() == []
+    changed = s.read("file_entries").selectExpr("snapshot_id", "path", "mode", "size + 1 as size", "mod_time", "file_hash", "chunks", "mime", "extra")
+    s.commit(replace={"file_entries": changed})
+    assert [r.snapshot_id for r in s.corrupt_snapshots().collect()] == [first]
 
 
 def test_two_writers(spark, place):
@@ -108,6 +166,7 @@ def test_two_writers(spark, place):
     b.version = lambda: -1
     with pytest.raises(StoreError):
         b.commit()
+    assert sorted(p.name for p in (place / "store" / "commits").iterdir() if p.suffix != ".crc") == ["000000000000.json"]
 
 
 def test_restore_and_export(spark, place):
