@@ -19,6 +19,8 @@ def parser() -> argparse.ArgumentParser:
     top.add_argument("--cwd", default=".")
     top.add_argument("--store", help="location of the store, if it is not in the directory")
     top.add_argument("--quiet", action="store_true", help="no output where all went well")
+    top.add_argument("--json", action="store_true", help="answers are JSON; there is no other form")
+    top.add_argument("--verbose", action="store_true", help="errors with the cause that lies under them")
     sub = top.add_subparsers(dest="command", required=True)
 
     def add(name: str, *arguments: tuple) -> None:
@@ -51,6 +53,7 @@ def parser() -> argparse.ArgumentParser:
     add("ls-remote", ("remote", maybe))
     add("ignore", ("action", {"choices": ["add", "remove", "list"]}), ("rules", many))
     add("config", ("action", {"choices": ["get", "set", "list"]}), ("names", many))
+    add("watch", ("action", {"choices": ["on", "off", "status", "pause", "resume"]}), ("--ticks", {"type": int}), ("--interval", {"type": float}))
     add("version")
     return top
 
@@ -87,11 +90,16 @@ def run(p: commands.Project, a: argparse.Namespace) -> object:
         "diff": lambda: commands.compare(p, a.old, a.new, a.file, a.stat), "check": lambda: commands.check(p, a.filter, a.verbose), "gc": lambda: s.collect_garbage(a.keep_auto, a.dry_run),
         "compact": lambda: s.compact(), "undo": lambda: {"id": s.undo(p.files())}, "restore": lambda: commands.restore(p, a.version, a.path, not a.no_backup),
         "resolve": lambda: s.resolve(a.version), "switch": lambda: commands.switch(p, a.name, a.create, not a.no_autosave), "export": lambda: commands.export(p, a.version, a.output),
-        "import": lambda: commands.import_file(p, a.branch, a.path), "clone": lambda: commands.clone(p, a.location), "ls-remote": lambda: commands.ls_remote(p, a.remote), "version": lambda: __version__,
+        "import": lambda: commands.import_file(p, a.branch, a.path), "clone": lambda: commands.clone(p, a.location), "ls-remote": lambda: commands.ls_remote(p, a.remote), "watch": lambda: commands.watch(p, a.action, a.ticks, a.interval), "version": lambda: __version__,
     }
     return simple[c]() if c in simple else commands.transfer(p, c, a.remote, a.branch, a.all, a.dry_run)
 
 
+def detail(error: Exception, verbose: bool) -> str | None:
+    """The cause of an error, or its kind where there is none; only if asked for."""
+    return (repr(error.__cause__) if error.__cause__ else type(error).__name__) if verbose else None
+
+
 def main(argv: list[str] | None = None, spark: object = None) -> int:
     a = parser().parse_args(argv)
     p = commands.Project(spark or local_session(), a.cwd, a.store)
@@ -100,9 +108,9 @@ def main(argv: list[str] | None = None, spark: object = None) -> int:
     except NothingToSave:
         text, code = commands.envelope(a.command, error="nothing to save", hint="change a file first"), commands.NOTHING
     except (StoreError, KeyError) as e:
-        text, code = commands.envelope(a.command, error=str(e)), commands.REFUSED
+        text, code = commands.envelope(a.command, error=str(e), detail=detail(e, a.verbose)), commands.REFUSED
     except (OSError, TypeError, ValueError) as e:
-        text, code = commands.envelope(a.command, error=str(e)), commands.USAGE
+        text, code = commands.envelope(a.command, error=str(e), detail=detail(e, a.verbose)), commands.USAGE
     if code or not a.quiet:
         print(text)
     return code

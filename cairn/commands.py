@@ -19,6 +19,7 @@ from cairn.functions.patterns import glob_match
 from cairn.operators import diff, gc, history, integrity, lineage, textdiff
 from cairn.sources import config, workspace
 from cairn.sources.store import NothingToSave, Store, StoreError
+from cairn.streaming import autosave
 
 #: Exit codes: fine, other failure, usage, not found or refused, nothing to do.
 OK, FAILED, USAGE, REFUSED, NOTHING = range(5)
@@ -226,6 +227,36 @@ def export(p: Project, version: str, output: str) -> dict[str, Any]:
     return {"entries": workspace.export_zip(p.store.contents(p.store.resolve(version)), output)}
 
 
+def watch(p: Project, action: str, ticks: int | None = None, interval: float | None = None) -> dict[str, Any]:
+    """Automatic snapshots: `on` saves a changed workspace at every interval, in the foreground, until `off` (or for so many
+    ticks), one watch a workspace; `pause`, `resume` and `status` work on its state from elsewhere."""
+    state, lock, stop = p.own("watch.json"), p.own("watch.lock"), p.own("watch.stop")
+    if action in ("pause", "resume"):
+        autosave.set_paused(state, action == "pause")
+    elif action == "off":
+        open(stop, "w").close()
+    elif action == "on":
+        try:
+            os.close(os.open(lock, os.O_CREAT | os.O_EXCL))
+        except FileExistsError as e:
+            raise StoreError(f"a watch is running, or ended without leaving: {lock}") from e
+        try:
+            if os.path.exists(stop):
+                os.remove(stop)
+            number, wait = autosave.WatchState.load(state).last_batch, p.config.watch_interval if interval is None else interval
+            while ticks is None or ticks > 0:
+                number, ticks = number + 1, None if ticks is None else ticks - 1
+                autosave.tick(p.store, p.files(), number, int(time.time()), state, p.config.keep_autos)
+                until = time.time() + wait
+                while time.time() < until and not os.path.exists(stop):
+                    time.sleep(min(0.5, wait))
+                if os.path.exists(stop):
+                    break
+        finally:
+            os.remove(lock)
+    return {"running": os.path.exists(lock)} | vars(autosave.WatchState.load(state))
+
+
 def ls_remote(p: Project, remote: str | None = None) -> DataFrame:
     return Store(p.spark, p.remotes.find(remote)).read("refs").orderBy("name")
 

@@ -53,13 +53,15 @@ def ship(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints: the cluster's own if it names one, else, in local mode only, a temporary one."""
+    """The shared folder for checkpoints: the cluster's own if it names one, else, in local mode only, a temporary one; as a
+    full URI, so that all who write there mean the same file system."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if spark.sparkContext.getCheckpointDir() is None:
         if named is None and not re.match(r"local(\[[^-]|\Z)", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that the executors share")
         spark.sparkContext.setCheckpointDir(named or tempfile.mkdtemp(prefix="cairn-checkpoint-"))
-    return named or spark.sparkContext.getCheckpointDir()
+    path = spark._jvm.org.apache.hadoop.fs.Path(named or spark.sparkContext.getCheckpointDir())
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -78,3 +78,23 @@ def test_session(cairn, tmp_path):
     cairn("config", "set", "core.x", "y", code=3)
     cairn("undo", code=3)
     assert cairn("gc", "--dry-run")["chunks_removed"] == 0 and second["id"] == cairn("resolve", "dev")
+
+
+def test_watch(cairn):
+    """Ticks save a changed workspace; a paused watch does not; there is one watch at a time."""
+    cairn("init")
+    (cairn.root / "a.txt").write_text("one\n")
+    state = cairn("watch", "on", "--ticks", "2", "--interval", "0")
+    assert (state["ticks"], state["auto_saves"], state["errors"], state["running"]) == (2, 1, 0, False)
+    assert cairn("watch", "pause")["paused"] and (cairn.root / "a.txt").write_text("two\n")
+    assert cairn("watch", "on", "--ticks", "1", "--interval", "0")["auto_saves"] == 1
+    assert not cairn("watch", "resume")["paused"] and cairn("watch", "status")["ticks"] == 2
+    cairn("watch", "off")
+    assert cairn("watch", "on", "--ticks", "1", "--interval", "0")["auto_saves"] == 2
+    (cairn.root / ".cairn" / "watch.lock").touch()
+    cairn("watch", "on", code=3)
+
+
+def test_errors_tell_their_cause_if_asked(spark, tmp_path, capsys):
+    assert main(["--cwd", str(tmp_path), "--verbose", "resolve", "head"], spark) == 3
+    assert json.loads(capsys.readouterr().out)["error_detail"] == "StoreError"

@@ -207,3 +207,38 @@ def test_field(pairs):
     assert gf61.mul(a, b).tolist() == [x * y % gf61.P for x, y in pairs]
     assert gf61.sub(a, b).tolist() == [(x - y) % gf61.P for x, y in pairs]
     assert all(x * y % gf61.P == 1 for x, y in zip(a.tolist(), gf61.inverse(a).tolist()) if x)
+
+
+def test_line_diffs_are_longest_and_hold_for_repeated_lines(monkeypatch):
+    """Against the table of all prefixes, with the grid cut into halves and whole; many equal lines are no burden."""
+    import random
+    import time
+
+    from cairn.operators import textdiff
+
+    def longest(a, b):
+        rows = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                rows[i + 1][j + 1] = rows[i][j] + 1 if x == y else max(rows[i][j + 1], rows[i + 1][j])
+        return rows[-1][-1]
+
+    r = random.Random(3)
+    for grid in (1, 30, 1 << 28):
+        monkeypatch.setattr(textdiff, "GRID", grid)
+        for _ in range(60):
+            a, b = ([r.choice("abc") for _ in range(r.randrange(20))] for _ in range(2))
+            pairs = textdiff.common_lines(a, b)
+            assert len(pairs) == longest(a, b) and all(a[i] == b[j] for i, j in pairs)
+            assert pairs == sorted(pairs) and len({i for i, _ in pairs}) == len({j for _, j in pairs}) == len(pairs)
+    began = time.perf_counter()
+    assert len(textdiff.common_lines(["x", *[""] * 10_000, "y"], ["z", *[""] * 10_000, "w"])) == 10_000
+    assert time.perf_counter() - began < 2
+
+
+def test_limits_of_diffs_can_be_lifted():
+    from cairn.operators import textdiff
+
+    old = "\n".join(map(str, range(10_500)))
+    assert "too large" in textdiff.unified(old, old + "\nx", "a", "b")
+    assert textdiff.unified(old, old + "\nx", "a", "b", None, None).endswith("+x\n")
