@@ -200,7 +200,7 @@ def members_of(run: pa.Table, asked: pa.RecordBatch) -> pa.RecordBatch:
     """Keys of the whole ranges of the asked places."""
     a, key = run.column("a").to_numpy(), run.column("key").to_numpy()
     places = np.unique(asked.column(0).to_numpy())
-    low, n = np.searchsorted(a, places, "left"), 0
+    low = np.searchsorted(a, places, "left")
     n = np.searchsorted(a, places, "right") - low
     return pa.RecordBatch.from_arrays([pa.array(key[np.repeat(low, n) + ramp(n)])], names=["key"])
 
