@@ -178,3 +178,37 @@ def test_batch_after_batch_equals_all_at_once(spark, tmp_path):
         found = forest.Forest(spark, str(tmp_path / "forest")).next_batch(sets, members, batch != 0)
         got += [(min(x), max(x)) for x in ((r.accepted_id, r.entry_id) for r in found.collect())]
     assert sorted(got) == brute(entries)
+
+
+def test_consecutive_batches_are_taken_together(spark, monkeypatch):
+    """The passes over the forest follow the logarithm of the entries, where the ids rise from batch to batch."""
+    r = rng(16)
+    pool = [h(k) for k in range(300)]
+    base = [r.sample(pool, r.choice([3, 8, 20])) for _ in range(50)]
+    entries = [(k, max(0, k // 10 - 5), r.choice(base)[: r.randrange(2, 21)] + r.sample(pool, r.randrange(3))) for k in range(1, 200)]
+    asked, matches = [], forest.Forest.matches
+    monkeypatch.setattr(forest.Forest, "matches", lambda self, sets: asked.append(1) or matches(self, sets))
+    assert run(spark, entries) == brute(entries)
+    assert len(asked) == 2  # for 14 batches: 1 to 5 and 6 to 14
+
+
+def test_groups_of_batches():
+    """As large as what is before them; never across batch 0, nor where an id is not above those of the batches before."""
+    rows = [(b, 10, 10 * b + 1, 10 * b + 10) for b in range(12)]
+    assert forest.arrivals([]) == [] and forest.arrivals(rows) == [0, 1, 2, 4, 8]
+    assert forest.arrivals([(0, 100, 1, 100), *rows[1:]]) == [0, 1, 11]
+    assert forest.arrivals([(-2, 5, -9, -5), (-1, 5, -4, 0), (0, 9, 1, 9), (1, 4, 10, 13), (2, 4, 13, 16), (3, 4, 17, 20)]) == [-2, -1, 0, 1, 2]
+
+
+def test_ids_that_do_not_rise_with_the_batches(spark):
+    """Late and repeated ids: the order is that of the batches, ties go to the lowest id."""
+    a, b = [h(k) for k in range(10)], [h(f"b{k}") for k in range(10)]
+    entries = [(100 + k, 0, [h(f"x{k}")]) for k in range(9)]
+    entries += [(50, 1, a), (40, 2, a[:9]), (60, 2, b), (55, 3, b[:9]), (41, 3, [*b[:8], h("y")]), (60, 4, a[:8]), (70, 5, b), (65, 6, b)]
+    assert run(spark, entries) == brute(entries)
+
+
+def test_later_entry_of_a_refused_class_meets_what_was_accepted_between(spark):
+    c = [h(k) for k in range(12)]
+    entries = [(1, 0, [h("x")]), (3, 1, c[:7]), (5, 1, c[:10]), (7, 1, c[1:11]), (9, 1, c[:10])]
+    assert run(spark, entries) == brute(entries) == [(3, 5), (7, 9)]
