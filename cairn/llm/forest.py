@@ -474,7 +474,7 @@ class Forest:
         """Keep accepted sets (key, ids), at most `most` (counted if not given), as one more run."""
         self._merge()
         most = sets.count() if most is None else most
-        self.labels.append(runs.write_run(labels(sets), "a", f"{self.folder}/labels", most * (TREES + 1)))
+        self.labels.append(runs.write_run(labels(sets), "a", f"{self.folder}/labels", most * (TREES + 1), then=("b",)))
         self.sets.append(runs.write_run(sets.select("key", "ids"), "key", f"{self.folder}/sets", most * 16, SET_GROUP))
         self._save()
 
@@ -483,7 +483,7 @@ class Forest:
 
     def _merge(self) -> None:
         """Merge the runs of a size class once there are FAN of them, so a row is rewritten once a class."""
-        for kind, by, group in (("labels", "a", runs.GROUP_ROWS), ("sets", "key", SET_GROUP)):
+        for kind, by, group, then in (("labels", "a", runs.GROUP_ROWS, ("b",)), ("sets", "key", SET_GROUP, ())):
             kept: list[list[Part]] = getattr(self, kind)
             size = [int(np.log(max(1, sum(p.rows for p in run))) / np.log(FAN)) for run in kept]
             for level in sorted(set(size)):
@@ -491,7 +491,7 @@ class Forest:
                 if len(alike) >= FAN:
                     old = [p for run in alike for p in run]
                     frame = self.spark.read.parquet(*(p.path for p in old))
-                    merged = runs.write_run(frame, by, f"{self.folder}/{kind}", sum(p.rows for p in old), group)
+                    merged = runs.write_run(frame, by, f"{self.folder}/{kind}", sum(p.rows for p in old), group, then=then)
                     setattr(self, kind, [run for run in kept if run not in alike] + [merged])
                     self._save()
                     runs.drop_parts(old)

@@ -47,9 +47,9 @@ def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
-def write_run(df: DataFrame, by: str, folder: str, rows: int, group_rows: int = GROUP_ROWS, file_rows: int = FILE_ROWS) -> list[Part]:
-    """Sort df of at most `rows` rows by `by` over as many tasks as they fill, and write it; the parts in order. An empty df
-    has none."""
+def write_run(df: DataFrame, by: str, folder: str, rows: int, group_rows: int = GROUP_ROWS, file_rows: int = FILE_ROWS, then: tuple[str, ...] = ()) -> list[Part]:
+    """Sort df of at most `rows` rows by `by`, equal ones by `then`, over as many tasks as they fill, and write it; the parts
+    in order. An empty df has none."""
     fs, path = open_folder(folder)
     fs.create_dir(path)
 
@@ -77,7 +77,7 @@ def write_run(df: DataFrame, by: str, folder: str, rows: int, group_rows: int =
         yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*done) if done else [()] * 5, kinds)], names=names)
 
     tasks = 1 + rows // TASK_ROWS
-    placed = (df.repartitionByRange(tasks, by) if tasks > 1 else df.repartition(1)).sortWithinPartitions(by)
+    placed = (df.repartitionByRange(tasks, by) if tasks > 1 else df.repartition(1)).sortWithinPartitions(by, *then)
     return sorted((Part(**r.asDict()) for r in placed.mapInArrow(run, "path string, low long, high long, rows long, marks array<long>").collect()), key=lambda p: p.low)
 
 

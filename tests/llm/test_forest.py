@@ -212,3 +212,15 @@ def test_later_entry_of_a_refused_class_meets_what_was_accepted_between(spark):
     c = [h(k) for k in range(12)]
     entries = [(1, 0, [h("x")]), (3, 1, c[:7]), (5, 1, c[:10]), (7, 1, c[1:11]), (9, 1, c[:10])]
     assert run(spark, entries) == brute(entries) == [(3, 5), (7, 9)]
+
+
+def test_runs_of_labels_are_in_order_of_the_whole_label(spark, tmp_path):
+    """Longer prefixes are found by bisection of the second word among equal first ones, in merged runs too."""
+    r = rng(17)
+    forest_ = forest.Forest(spark, str(tmp_path))
+    for k in range(5):
+        rows = [(k * 40 + i, sorted([*r.sample(range(30), 28), 1000 + k * 40 + i])) for i in range(40)]
+        forest_.add(spark.createDataFrame(rows, "key long, ids array<bigint>"))
+        for run_ in forest_.labels:
+            got = [(x.a, x.b) for p in run_ for x in spark.read.parquet(p.path).select("a", "b").collect()]
+            assert got == sorted(got)
